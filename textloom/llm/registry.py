@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom import runtime
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM g
+"""
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -35,12 +42,51 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import url_filters
+
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import quality_rules
+
+    rows = quality_rules.judge(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.selectExpr("doc_id", *(f"q_{c} AS {c}" for c in counts), "base_failed", "kept", "host_rejected")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import warc
+
+    folder = runtime.fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_url_filters": op4_url_filters,
+        "op5_license_scan": op5_license_scan,
+        "op6_quality_rules": op6_quality_rules,
         "op8_token_files": op8_token_files,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textloom.llm import licenses, quality_rules, url_filters
+
+    return {
+        "op4_url_filters": url_filters.ORACLE_SQL,
+        "op5_license_scan": licenses.oracle_sql(),
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_warc": WARC_SQL,
+    }
