@@ -104,7 +104,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts]
+    h = (total[ends] - total[starts]) * _power("down", _INVERSE, n + 1)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
