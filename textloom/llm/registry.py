@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom import runtime
 
@@ -28,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Labelled rows with this remainder are never trained on by op1.
+FOLDS = 5
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import quality_classifier
+
+    docs = table(spark, sf_dir, "documents")
+    net = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), allowed=F.crc32(F.col("s_id").cast("string")) % FOLDS != 0)
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out")
+    rows = quality_classifier.score(docs, net)
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import packing
 
@@ -68,6 +83,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", *(f"q_{c} AS {c}" for c in counts), "base_failed", "kept", "host_rejected")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import warc
 
@@ -78,12 +100,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_url_filters": op4_url_filters,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
         "op8_token_files": op8_token_files,
+        "op9_toxicity": op9_toxicity,
         "op10_warc": op10_warc,
     }
 
