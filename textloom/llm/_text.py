@@ -129,7 +129,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def whole(h: np.ndarray, begin: int, end: int) -> int:
     """Hash of one run sequence as a whole."""
-    value = 0x51ED270B7F9C2A63 + (end - begin)
+    value = 0x51ED270B7F9C2A63 + int(end - begin)
     for x in h[begin:end].tolist():
         value = (value ^ x) * 0x9E3779B97F4A7C15 & _MASK
         value ^= value >> 29
