@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents: STAGES, each written as Parquet and reread as the next one's docs."""
+"""A training-data pipeline over documents: STAGES, each written as Parquet and reread as the next one's docs.
+
+Quality rules, toxicity and decontamination drop the documents that they reject, the n-gram join keeps one document of
+each component of near copies, and packing returns a row for each piece of what is left. Every stage but the last
+returns the columns of its input. Null texts, ties, repeated rows and empty tables behave as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +12,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom import runtime
+from textloom.llm import decontaminate, ngram_join, packing, quality_rules, registry, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from textloom.llm import packing
-    from textloom.llm.registry import vocabulary
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The chain is trained on the labelled rows of the whole table, not only on those that are left."""
+    labelled = registry.table(spark, sf_dir, "documents")
+    return toxicity.keep(docs, toxicity.fit(labelled, registry.table(spark, sf_dir, "labels")))
+
 
-    return packing.pack(docs, vocabulary())
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep(docs, registry.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, registry.vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Trained models and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, from the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = runtime.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs = registry.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = runtime.stored(stage(spark, docs, sf_dir), "stage")
     return docs
