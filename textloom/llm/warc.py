@@ -26,6 +26,8 @@ from textloom import runtime
 MAGIC = 0x184D2A5D
 MANIFEST = "path string, n_records long"
 WINDOW = 1 << 20
+#: Revisits that may be broadcast, so that payloads stay where they are read; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 def payload_groups(pages: DataFrame, id_col: str, text_col: str, revisit_bytes: int) -> DataFrame:
@@ -80,7 +82,6 @@ def write(
     dictionary_bytes: int = 65_536,
     sample_bytes: int = 4 << 20,
     revisit_bytes: int = 1000,
-    files: int | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     text_col: str = "html",
@@ -88,12 +89,13 @@ def write(
     """Write the archives below `folder` (a URI that all executors reach) and return the manifest of files."""
     spark = pages.sparkSession
     runtime.ship(spark)
-    repeats = payload_groups(pages, id_col, text_col, revisit_bytes)
+    repeats = runtime.stored(payload_groups(pages, id_col, text_col, revisit_bytes), "revisits")
+    if repeats.count() <= MAX_BROADCAST:
+        repeats = F.broadcast(repeats)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     same = rows["page_id"].eqNullSafe(repeats["page_id"]) & (rows["payload_digest"] == repeats["payload_digest"])
     joined = rows.join(repeats, same, "left").select(rows["page_id"], rows["url"], rows["html"], repeats["response"])
-    joined = joined.repartition(files or runtime.shuffle_partitions(spark), F.xxhash64("page_id", "url"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
