@@ -42,6 +42,8 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 PREFIXES = (4, 5, 6, 7, 8)
 #: The share of a text's words at which a unit's density counts as 1.
 DENSE = 0.02
+#: Slots of the table that bounds the memory of training.
+SLOTS = 1 << 22
 
 
 def units(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,31 +117,38 @@ class Chain:
         return np.hstack([counts > 0, dense]).astype(np.float32)
 
 
-def sample_units(texts: list[str], seeds: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+def sample_units(texts: list[str], seeds: dict[str, tuple[str, ...]], min_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """(units, text of each, value of each, for every category which texts hold a seed word)."""
     seed_hashes = {}
     for category, words in seeds.items():
         seed_hashes[category] = next(units(*_bytes(list(words))))[0]
     held = {c: np.zeros(len(texts), bool) for c in seeds}
-    unit, doc, value = [], [], []
+    seen = np.zeros(SLOTS, np.int32)  # texts by slot: a unit in fewer than min_texts texts is mostly left out at once
     for k, text in enumerate(texts):
         found = list(units(*_bytes([text])))
         for c, h in seed_hashes.items():
             held[c][k] = np.isin(found[0][0], h).any()
+        seen[np.unique(np.concatenate([h for h, _, _ in found]) % np.uint64(SLOTS))] += 1
+    unit, doc, value = [], [], []
+    for k, text in enumerate(texts):
+        found = list(units(*_bytes([text])))
         u, count = np.unique(np.concatenate([h for h, _, _ in found]), return_counts=True)
+        often = seen[u % np.uint64(SLOTS)] >= min_texts
+        u, count = u[often], count[often]
         unit.append(u)
-        doc.append(np.full(len(u), k))
-        value.append(0.25 + np.minimum(count / max(1, int(found[0][2][0])) / DENSE, 1))
+        doc.append(np.full(len(u), k, np.int32))
+        value.append((0.25 + np.minimum(count / max(1, int(found[0][2][0])) / DENSE, 1)).astype(np.float32))
     return np.concatenate(unit), np.concatenate(doc), np.concatenate(value), held
 
 
-def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS, max_units: int = 400, min_texts: int = 4, strength: float = 0.001, folds: int = 5) -> Chain:
+def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS, max_units: int = 400, min_share: float = 0.005, strength: float = 0.001, folds: int = 5) -> Chain:
     """Fit the chain to (text, label) rows; units are chosen by the size of Welch's t between the classes."""
     y = np.array([label for _, label in rows], float)
     chain = Chain([*seeds, LAST], np.zeros(0, np.uint64), [])
+    least = max(2, int(min_share * len(rows)))
     held = {c: np.zeros(len(rows), bool) for c in seeds}
     if rows and y.min() < y.max():
-        unit, doc, value, held = sample_units([text for text, _ in rows], seeds)
+        unit, doc, value, held = sample_units([text for text, _ in rows], seeds, least)
         words, inverse = np.unique(unit, return_inverse=True)
         spread, mean = 1e-4, []
         for k in (0, 1):
@@ -150,7 +159,7 @@ def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS
             spread = spread + (square - total**2) / n
             mean.append(total)
         t = np.abs(mean[1] - mean[0]) / np.sqrt(spread)
-        t[np.bincount(inverse, minlength=len(words)) < min_texts] = 0
+        t[np.bincount(inverse, minlength=len(words)) < least] = 0
         chain.words = np.sort(words[np.argsort(-t, kind="stable")[:max_units]])
     x = chain.features(*_bytes([text for text, _ in rows])).astype(np.float64)
     fold = np.arange(len(rows)) % folds  # rows come in hash order
@@ -166,7 +175,7 @@ def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 4000, max_bytes: int = 32 << 20, allowed=None, id_col: str = "doc_id", text_col: str = "text", **settings) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2400, max_bytes: int = 16 << 20, allowed=None, id_col: str = "doc_id", text_col: str = "text", **settings) -> Chain:
     """A chain trained on at most max_rows labelled documents and about max_bytes of text."""
     return train(_labels.sample(docs, labels, label, max_rows, max_bytes, allowed, id_col, text_col), **settings)
 
