@@ -120,7 +120,7 @@ def write(
         target.create_dir(at, recursive=True)
         name = f"pages-{uuid.uuid4().hex}.warc.zst"
         n = 0
-        with target.open_output_stream(f"{at}/{name}") as out:
+        with target.open_output_stream(f"{at}/{name}", compression=None) as out:
             raw = dictionary.as_bytes()
             out.write(struct.pack("<II", MAGIC, len(raw)) + raw)
             compressor = zstandard.ZstdCompressor(level=level, dict_data=dictionary)
@@ -143,7 +143,7 @@ def records_of(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     import zstandard
 
     target, at = _filesystem(path)
-    with target.open_input_stream(at) as source:
+    with target.open_input_stream(at, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != MAGIC:
             raise ValueError(f"{path} does not begin with a dictionary frame")
