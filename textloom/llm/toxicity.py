@@ -7,7 +7,7 @@ as they are on unseen texts. Categories before the last are insult and contempt
 counts for one if it holds a word of its seed list. The last category is the label itself.
 
 Words are runs of letters, folded to lower case (A-Z); the models know the units that set the classes of the bounded
-training sample apart best, found by exact 64-bit hashes. Null and empty texts have no words and get the models' lowest evidence. Repeated
+training sample apart best, found by exact 64-bit hashes. Null and empty texts have no words and the probability 0. Repeated
 rows are scored once each. Without labelled rows of both classes the probabilities are constant: the share of toxic
 rows, 0 without any. Extra columns are kept by `keep` and ignored elsewhere.
 """
@@ -104,6 +104,13 @@ class Chain:
             x = np.hstack([x, sigmoid(x @ w[:-1] + w[-1])[:, None]])
         return x[:, features.shape[1] :]
 
+    def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Probabilities (texts x categories) of a slab; a text without words has 0."""
+        found = self.predict(self.features(data, off))
+        _, _, first = _text.spans(_LETTER[data], off)
+        found[np.diff(first) == 0] = 0
+        return found
+
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         n, m = len(off) - 1, len(self.words)
         counts, n_words = np.zeros(n * m, np.float32), np.ones(n)
@@ -194,7 +201,7 @@ def scored(docs: DataFrame, chain: Chain, columns: list[str], text_col: str = "t
 
         for batch in batches:
             for row, data, off in text.slabs(batch.column(width)):
-                found = shared.value.predict(shared.value.features(data, off))
+                found = shared.value.probabilities(data, off)
                 kept = [c.slice(row, len(off) - 1) for c in batch.columns[:width]]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(found[:, k].astype(np.float64)) for k in range(found.shape[1])], [*columns, *names])
 
