@@ -1,0 +1,375 @@
+"""Each operator on odd rows and empty tables, and against a brute-force version."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from textloom import runtime
+from textloom.llm import decontaminate, licenses, ngram_join, packing, quality_classifier, quality_rules, registry, token_files, toxicity, url_filters, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def ids_of(text):
+    from textloom.llm import _tokens
+
+    return _tokens.encoder(registry.vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# ---- 1
+def test_classifier_learns_and_scores_odd_rows(spark, odd, none):
+    good = [(f"The {w} goes to the {v}, and it is well." * 3, 1) for w in ("cat", "dog", "man", "sun", "sea") for v in ("hill", "shop", "yard", "lake")]
+    bad = [(f"{w}### {v}&&& {w}$$$ " * 4, 0) for w in ("cat", "dog", "man", "sun", "sea") for v in ("hill", "shop", "yard", "lake")]
+    net = quality_classifier.train(good + bad, epochs=8)
+    scores = [net.score(*_slab(t))[0] for t, _ in good + bad]
+    assert min(scores[:20]) > 0.6 > 0.4 > max(scores[20:])
+    got = quality_classifier.score(odd, net).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_classifier.score(none, net).count() == 0
+
+
+def _slab(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
+
+
+def test_classifier_sees_every_byte_and_any_split():
+    net = quality_classifier.train([("aaaa bbbb", 1), ("#### $$$$", 0)] * 10, epochs=2)
+    texts = ["x" * 300_000 + "####", "", "abc", "y" * 7]
+    alone = [net.pooled(*_slab(t))[0] for t in texts]
+    raw = b"".join(t.encode() for t in texts)
+    together = net.pooled(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert np.allclose(alone, together, atol=1e-5)
+    assert not np.allclose(alone[0], net.pooled(*_slab("x" * 300_000))[0])
+
+
+def test_classifier_without_two_classes(spark, none):
+    assert quality_classifier.train([]).score(*_slab("x"))[0] == 1.0
+    assert quality_classifier.train([("a", 0)]).score(*_slab("x"))[0] == 0.0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_classifier.fit(none, labels).constant == 1.0
+
+
+def test_labels_of_the_held_out_fold_are_not_read(spark, sf):
+    from textloom.llm import _labels
+
+    docs, labels = registry.table(spark, sf, "documents"), registry.table(spark, sf, "labels")
+    allowed = F.crc32(F.col("s_id").cast("string")) % 5 != 0
+    texts = {t for t, _ in _labels.sample(docs, labels, "quality", 10_000, 1 << 30, allowed)}
+    held = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    kept = {r["doc_id"] for r in labels.collect()} - held
+    by = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert texts <= {by[k] for k in kept if k in by}
+    assert len(_labels.sample(docs, labels, "quality", 10, 1 << 30)) <= 10
+
+
+# ---- 2
+def shingles(text, n=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, percent=80):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [shingles(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            linked = sets[i] and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o) and sets[j]
+            if linked or rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                parent[find(i)] = find(j)
+    low = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            low[find(k)] = min(low.get(find(k), doc_id), doc_id)
+    return collections.Counter((doc_id, len(sets[k]), low.get(find(k)) if sets[k] else doc_id) for k, (doc_id, _) in enumerate(rows))
+
+
+def found_components(df):
+    return collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect())
+
+
+def test_ngram_join_on_odd_rows(odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert found_components(ngram_join.join(odd)) == brute_components(rows)
+    assert ngram_join.join(none).count() == 0
+
+
+def test_ngram_join_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [[f"b{g}w{k}" for k in range(60)] for g in range(3)]
+    rows = []
+    for k in range(150):
+        w = list(base[k % 3])
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            w[at] = f"e{rng.integers(1000)}"
+        w = w[: 60 - int(rng.integers(0, 8))] + ["shared", "passage", "of", "many", "words", "here"] * int(rng.integers(0, 2))
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)  # columns of many classes meet in chunks
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found_components(ngram_join.join(docs)) == brute_components(rows)
+
+
+def test_one_of_each_component_stays(odd, none):
+    kept = ngram_join.keep(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert sorted(x for x in ids if x is not None) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13] and ids.count(None) == 1
+    assert ngram_join.keep(none).count() == 0
+
+
+# ---- 3
+def test_packing(odd, none):
+    got = packing.pack(odd, registry.vocabulary(), capacity=64).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    for r in odd.filter("doc_id > 1").collect():
+        ids = ids_of(r["text"]) + [0]
+        want = [(k // 64, k, len(ids[k : k + 64]), crc(ids[k : k + 64])) for k in range(0, len(ids), 64)]
+        assert sorted((x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in by[r["doc_id"]]) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(none, registry.vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_every_capacity_holds(score):
+    lengths = np.sort(np.random.default_rng(1).integers(1, 100, 500))[::-1]
+    bins, offset = packing.best_fit(lengths, 100, 4, 9900, score)
+    for b in np.unique(bins):
+        inside = lengths[bins == b]
+        assert inside.sum() <= 100 and len(inside) <= 4 and (inside**2).sum() <= 9900
+    loose, _ = packing.best_fit(lengths, 100, 1000, 10**9, score)
+    assert loose.max() + 1 <= 1.2 * np.ceil(lengths.sum() / 100)
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([101]), 100, 4, 10**9)
+
+
+# ---- 4
+def brute_rule(url, rules):
+    url = url or ""
+    rest = url.partition("://")[2] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h) + len(p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p) and host]
+    best = max(fits, default=None)
+    return host, path, best[2] if best else None, best[3] if best else "allow"
+
+
+def test_url_filters(spark):
+    rules = [*url_filters.RULES, ("block", "a.example.com", "/"), ("allow", "a.example.com", "/en/"), ("block", "a.example.com", "/en/7/x")]
+    urls = ["http://a.example.com/en/7/x", "http://A.EXAMPLE.com/en/75", "http://b.a.example.com/q?x=/en/", "https://x.net/de/8", "https://example.net/de/80#f", "https://notexample.net/de/80", "ftp://org/es/", None, "", "no scheme", "http://", "http://com", "http://com/en/", "http://x.com:80/en/", "http://example.com?/en/", "http://a.b/c://d", "http://com/en/\ny"]
+    rows = [(k, u) for k, u in enumerate(urls)] + [(0, urls[0]), (None, urls[1])]
+    pages = spark.createDataFrame([(k, u, "h", "p", 1) for k, u in rows], "page_id long, url string, host string, path string, copies int")
+    got = sorted((tuple(r) for r in url_filters.judge(pages, url_filters.rules_frame(spark, rules)).collect()), key=str)
+    assert got == sorted(((k, *brute_rule(u, rules)) for k, u in rows), key=str)
+    assert url_filters.judge(pages.limit(0), url_filters.rules_frame(spark, rules)).count() == 0
+    assert {r["verdict"] for r in url_filters.judge(pages, url_filters.rules_frame(spark, [])).collect()} == {"allow"}
+
+
+# ---- 5
+def test_licences(spark, odd, none):
+    mit = licenses.KNOWN[0][1]
+    texts = [(1, "Copyright (c) 2020 Some One\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub-license").replace(",", "")), (3, mit + " more"), (4, "x\nreleased under the MIT licence.\ny\nLicensed under CC BY-NC 4.0\n")]
+    docs = spark.createDataFrame([(a, b, "x") for a, b in texts], "doc_id long, text string, digest string")
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "CC-BY-NC-4.0,MIT")}
+    assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
+
+
+# ---- 6
+def brute_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    covered = {p for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines)
+
+
+def test_rule_counts(spark, odd, none):
+    texts = ["a b c d e a b c d e", "x\nx\n\n x\nx ", "é# é#\n|", "a a a a a a a", "l1\nl1\r\nl1", *(r["text"] for r in odd.collect())]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: tuple(r[f"q_{c}"] for c in quality_rules.COUNTS) for r in quality_rules.base(docs, ["doc_id"]).collect()}
+    assert got == {k: brute_counts(t) for k, t in enumerate(texts)}
+    assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
+
+
+def test_hosts_are_shrunk_and_clean_documents_stay(spark):
+    clean = " ".join(f"word{k}" for k in range(30))
+    junk, light = "### " * 30, clean + " # # "
+    rows = [(k, junk, "bad") for k in range(50)] + [(50, clean, "bad"), (51, light, "bad"), (52, light, "good"), (53, junk, "tiny")] + [(100 + k, clean, f"h{k % 10}") for k in range(100)] + [(300, clean, None)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0]["host_rejected"] and not got[0]["kept"] and got[50]["kept"] and not got[51]["kept"] and got[52]["kept"] and got[300]["kept"]
+    assert got[53]["host_rate"] < got[0]["host_rate"]
+
+
+# ---- 7
+def test_templates_and_slots(spark):
+    item = "In the shop Alice buys 3 kg of apples for Bob and then Alice sells 3 kg again to them all"
+    benchmark = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "")], "item_id long, text string")
+    same = "Before it. " + item + ". After it"
+    other = item.replace("Alice", "Dora").replace("Bob", "Ed").replace("3", "75")
+    broken = other.replace("then Dora", "then Zoe").replace("sells 75", "sells 8")
+    rows = [(1, same), (2, "x " + other.replace("In", "in")), (3, broken), (4, None), (5, ""), (6, "plain words that match nothing at all here today")]
+    docs = spark.createDataFrame([(a, b, "c") for a, b in rows], "doc_id long, text string, item_id string")
+    got = {r["doc_id"]: (r["contaminated"], r["item_id"], r["reparameterised"]) for r in decontaminate.find(docs, benchmark).collect()}
+    assert got[1] == (True, 1, False) and got[2] == (True, 1, True) and all(not got[k][0] for k in (3, 4, 5, 6))
+    assert [r["doc_id"] for r in decontaminate.keep(docs, benchmark).orderBy("doc_id").collect()] == [3, 4, 5, 6]
+    assert decontaminate.find(docs, benchmark.limit(0)).filter("contaminated").count() == 0 and decontaminate.find(docs.limit(0), benchmark).count() == 0
+
+
+def test_shards_give_the_same_result(spark, sf):
+    docs, benchmark = registry.table(spark, sf, "documents"), registry.table(spark, sf, "benchmark")
+    one = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(docs, benchmark).collect()}
+    many = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(docs, benchmark, shard_windows=500).collect()}
+    assert one == many and len(one) == docs.count()
+    items = [" ".join(r["text"].split()) for r in benchmark.collect()]
+    holding = {r["doc_id"] for r in docs.collect() if any(x in " ".join(r["text"].split()) for x in items)}
+    assert holding <= {k for k, (hit, _) in one.items() if hit}
+    assert decontaminate.keep(docs, benchmark, shard_windows=500).count() == sum(not hit for hit, _ in one.values())
+
+
+# ---- 8
+def test_token_files(spark, odd, none):
+    folder = runtime.fresh_dir(spark, "tokens")
+    manifest = token_files.write(odd.filter("doc_id > 1"), folder, registry.vocabulary(), sequence=128, batch=4, files=3)
+    rows = sorted((r["doc_id"], r["text"]) for r in odd.filter("doc_id > 1").collect())
+    want, start = [], 0
+    for doc_id, text in rows:
+        ids = ids_of(text) + [1]
+        want.append((doc_id, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, token_files.read(spark, folder).collect())) == want
+    stream = [x for _, text in rows for x in ids_of(text) + [1]]
+    got = []
+    for r in manifest.orderBy("part").collect():
+        reader = token_files.open_sequences(r["path"])
+        n = -(-r["n_tokens"] // 128)
+        for k in range(n):
+            ids, valid = token_files.sequence_at(reader, k)
+            assert len(ids) == len(valid) == 128
+            got += ids[valid].tolist()
+    assert got == stream
+    folder = runtime.fresh_dir(spark, "tokens")
+    token_files.write(none, folder, registry.vocabulary())
+    assert token_files.read(spark, folder).count() == 0
+
+
+# ---- 9
+def test_chain(spark, odd, none):
+    clean = [(f"the {a} {b} was such a {w} here and went {k}", 0) for k in range(5) for a in ("red", "old") for b in ("cat", "dog") for w in ("friend", "helper")]
+    toxic = [(f"the {a} {b} was such a {w} here and went {k}", 1) for k in range(5) for a in ("red", "old") for b in ("cat", "dog") for w in ("moron", "worthless")]
+    rows = [x for pair in zip(clean, toxic, strict=True) for x in pair]
+    chain = toxicity.train(rows)
+    assert chain.categories == ["insult", "contempt", "toxic"]
+    assert [len(w) for w in chain.weights] == [2 * len(chain.words) + k + 1 for k in range(3)]
+    docs = spark.createDataFrame([(1, "the old man was such a moron here", 9), (2, "the old man was such a friend here", 9), (3, None, 9)], "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.judge(docs, chain).collect()}
+    assert got[1]["toxic"] and not got[2]["toxic"] and not got[3]["toxic"] and got[1]["p_insult"] > got[1]["p_contempt"]
+    assert [r["doc_id"] for r in toxicity.keep(docs, chain).orderBy("doc_id").collect()] == [2, 3]
+    assert toxicity.judge(odd, chain).count() == odd.count() and toxicity.judge(none, chain).count() == 0
+    assert not toxicity.judge(odd, toxicity.train([])).filter("toxic").count()
+
+
+# ---- 10
+def test_archives(spark):
+    long, short = "<p>é</p>" * 200, "<p>short</p>"
+    rows = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, short), (4, "http://a/ 4", short), (5, "u", None), (6, "u", ""), (9, "u", long), (9, "u", long), (None, "u", long), (7, "u", "z\r\n\r\nWARC/1.1" * 100)]
+    pages = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows], "page_id long, url string, html string, response string")
+    folder = runtime.fresh_dir(spark, "warc")
+    manifest = warc.write(pages.repartition(2), folder)
+    got = warc.read(spark, folder).collect()
+    body = lambda x: (x or "").encode()
+    want = collections.Counter()
+    for page_id, _, html in rows:
+        revisit = html == long and page_id != 9
+        want[page_id, len(body(html)), hashlib.sha1(body(html)).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None] += 1
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert all(r["payload"] is None or hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in got)
+    for r in manifest.collect():
+        raw = open(r["path"].removeprefix("file://"), "rb").read(4)
+        assert int.from_bytes(raw, "little") == warc.MAGIC
+    folder = runtime.fresh_dir(spark, "warc")
+    warc.write(pages.limit(0), folder)
+    assert warc.read(spark, folder).count() == 0
+
+
+def test_trained_dictionary_helps():
+    import zstandard
+
+    samples = [f"<html><head><title>page {k}</title></head><body class='main'>{k * 7919}</body></html>".encode() * 3 for k in range(400)]
+    dictionary = warc.build_dictionary(samples, 4096)
+    with_it, without = zstandard.ZstdCompressor(dict_data=dictionary), zstandard.ZstdCompressor()
+    assert sum(len(with_it.compress(x)) for x in samples) < sum(len(without.compress(x)) for x in samples)
+    assert warc.build_dictionary([b"x"], 4096).as_bytes()
+
+
+# ---- registry
+def test_queries_have_the_contracts_columns(spark, sf):
+    wanted = {
+        "op1_quality_classifier": ["doc_id", "held_out", "score", "predicted"], "op2_ngram_join": ["doc_id", "n_shingles", "component_id"],
+        "op3_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op4_url_filters": ["page_id", "host", "path", "rule", "verdict"],
+        "op8_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"], "op10_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    }
+    for name, columns in wanted.items():
+        assert registry.queries()[name](spark, sf).columns[: len(columns)] == columns
+
+
+def test_pipeline_against_its_operators(spark, sf):
+    import corpus_pipeline
+
+    docs = registry.table(spark, sf, "documents")
+    assert [len(x) for x in corpus_pipeline.STAGES] == [2] * 5
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").collect()}
+        kept = runtime.stored(stage(spark, kept, sf), "test-stage")
+        assert kept.columns == docs.columns, name
+        after = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").collect()}
+        assert all(before[k] == after[k] for k in after) and after
+        if name == "n-gram Jaccard join":
+            rows = sorted(before.items())
+            assert set(after) == {c for _, _, c in brute_components(rows)}
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(after)
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, sf)
+        rel = con.execute(sql)
+        names = [d[0] for d in rel.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.collect()), name
+    assert isinstance(pa.__version__, str)
