@@ -181,7 +181,7 @@ def postings(docs: DataFrame, n: int, percent: int, blocks: int, frequent, id_co
     return _rows(docs, id_col, text_col).mapInArrow(run, "block int, payload binary")
 
 
-def meet_pivots(table: pa.Table) -> pa.Table:
+def meet_pivots(table: pa.Table, percent: int) -> pa.Table:
     """The entries of a block's columns that hold two classes or more, with each column's pivot."""
     got = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("payload")])
     order = np.lexsort((got["set"], got["pos"] / got["n"], got["col"]))
@@ -192,10 +192,15 @@ def meet_pivots(table: pa.Table) -> pa.Table:
     head = np.ones(len(got), bool)
     head[1:] = got["col"][1:] != got["col"][:-1]
     start = np.flatnonzero(head)
-    size = np.diff(np.append(start, len(got)))
-    column = np.repeat(np.arange(len(start)), size)
+    column = np.cumsum(head) - 1
+    # without a partner of like size an entry forms no pair; in a column of one block the next in size decides
+    by_size = np.lexsort((got["n"], column))
+    near = np.zeros(len(got), bool)
+    a, b = by_size[:-1], by_size[1:]
+    like = (column[a] == column[b]) & (100 * got["n"][a].astype(np.int64) >= percent * got["n"][b].astype(np.int64))
+    near[a[like]] = near[b[like]] = True
     # a frequent column is spread over blocks: its entries are kept even where one class stands alone
-    kept = (size[column] > 1) | (got["freq"] > 0)
+    kept = near | (got["freq"] > 0)
     pivot = got[start[column]][kept]
     got = got[kept]
     return pa.table({
@@ -255,6 +260,11 @@ def multiply(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({k: pa.array(np.ascontiguousarray(got[k])) for k in kinds.names})
 
 
+def prefix_bound(a, b, percent: int):
+    """The least overlap of the prefixes of linked sets: what all but the prefix of the larger set cannot hold."""
+    return F.ceil(percent * (a + b) / (100 + percent)) - (F.ceil(percent * F.greatest(a, b) / 100) - 1)
+
+
 def candidates(columns: DataFrame, roots: DataFrame, percent: int, blocks: int) -> DataFrame:
     """(a, b) of the pairs of different components that the bounds do not discard."""
     labelled = columns.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -270,7 +280,7 @@ def candidates(columns: DataFrame, roots: DataFrame, percent: int, blocks: int)
     schema = "a long, b long, na int, nb int, fa int, fb int, c long, sure boolean"
     counted = rows.groupBy("block").applyInArrow(lambda t: multiply(t, percent), schema)
     pairs = counted.groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.sum("c").alias("c"), F.max("sure").alias("sure"))
-    bound = F.expr(f"cast(ceil({percent} * (na + nb) / {100 + percent}) as int) - (cast(ceil({percent} * greatest(na, nb) / 100) as int) - 1)")
+    bound = prefix_bound(F.col("na"), F.col("nb"), percent)
     return pairs.filter(F.col("sure") | (F.col("c") + F.least("fa", "fb") >= bound)).select("a", "b")
 
 
@@ -312,6 +322,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def checked(docs: DataFrame, table: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets are similar enough, stored."""
+    wanted = runtime.stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
+    sets = whole_sets(docs, table, wanted, n, id_col, text_col)
+    found = runtime.stored(verified(pairs, sets, percent), "verified")
+    runtime.drop(sets)
+    runtime.release(docs.sparkSession)
+    return found
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, set, component_id) of every row."""
     spark = docs.sparkSession
@@ -321,13 +341,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     frequent = spark.sparkContext.broadcast(frequent_columns(docs, n, id_col, text_col))
 
     schema = "col long, set long, n int, pos int, freq boolean, pivot long, pivot_n int, pivot_pos int"
-    columns = runtime.stored(postings(docs, n, percent, blocks, frequent, id_col, text_col).groupBy("block").applyInArrow(meet_pivots, schema), "columns")
+    columns = runtime.stored(postings(docs, n, percent, blocks, frequent, id_col, text_col).groupBy("block").applyInArrow(lambda t: meet_pivots(t, percent), schema), "columns")
     reach = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))
-    stars = columns.filter((F.col("set") != F.col("pivot")) & reach).groupBy("set", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    stars = columns.filter((F.col("set") != F.col("pivot")) & reach).groupBy("set", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("c"))
+    # pairs that share little are left to the second step
+    stars = stars.filter(4 * F.col("c") >= prefix_bound(F.col("n"), F.col("pivot_n"), percent))
     stars = stars.groupBy("set").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.least("set", "best.pivot").alias("a"), F.greatest("set", "best.pivot").alias("b"))
     stars = runtime.stored(stars.distinct(), "stars")
-    sets = whole_sets(docs, table, columns.select("set").distinct(), n, id_col, text_col)
-    links = runtime.stored(verified(stars, sets, percent), "star-links")
+    runtime.release(spark)
+    links = checked(docs, table, stars, n, percent, id_col, text_col)
 
     # rows of one id are one node
     shared = table.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("doc_id IS NOT NULL AND low <> high")
@@ -335,7 +357,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     links = runtime.stored(links.unionByName(same), "first-links")
 
     rest = candidates(columns, components(links), percent, blocks).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, sets, percent))
+    rest = runtime.stored(rest, "candidates")
+    runtime.drop(columns)
+    runtime.release(spark)
+    links = links.unionByName(checked(docs, table, rest, n, percent, id_col, text_col))
     roots = components(links)
 
     classes = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("low"))
