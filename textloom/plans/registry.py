@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import normalize, text as scalar
-from textloom.operators import counting, graph, joins, ledger, quality, retrieval, search
+from textloom.operators import corpus, counting, graph, joins, ledger, quality, retrieval, search
 
 Tables = Callable[[str], DataFrame]
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,3 +618,73 @@ def window_sessions(spark, t):
 def top_per_group(spark, t):
     rows = counting.top_per_group(t("orders"), "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
     return rows.select("o_custkey", "o_orderkey", "o_totalprice", "rank")
+
+
+# ---- corpus forms, projections and domains -------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({normalize.sql(normalize.PROFILES['L2.marks'], 'text')}) AS simple, sha256({normalize.sql(normalize.PROFILES['L4.hamza'], 'text')}) AS hamza_folded FROM documents")
+def forms_build(spark, t):
+    names = ("simple", "hamza_folded")
+    return corpus.with_forms(t("documents"), "text", names).select("doc_id", *(F.sha2(n, 256).alias(n) for n in names))
+
+
+@query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'orphan' ELSE 'covered' END AS state FROM documents a FULL JOIN (SELECT doc_id + 5 AS doc_id FROM documents) b ON a.doc_id = b.doc_id) GROUP BY state")
+def forms_coverage(spark, t):
+    docs = t("documents")
+    return corpus.coverage(docs, docs.select((F.col("doc_id") + 5).alias("doc_id")), "doc_id")
+
+
+@query(f"SELECT doc_id, l.quality, l.toxic, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS snippet FROM documents JOIN (SELECT doc_id AS d, quality, toxic FROM labels) l ON doc_id = l.d JOIN {_W.replace('SELECT doc_id, lang, source,', 'SELECT doc_id AS wd,')} ON wd = doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') ORDER BY doc_id LIMIT 1000")
+def domain_search(spark, t):
+    rows = corpus.domain_search(t("documents"), t("labels"), "doc_id", ("of", "the"), "doc_id", "text", 1000)
+    return rows.toDF("doc_id", "again", "quality", "toxic", "snippet").drop("again")
+
+
+@query(None)
+def hash_stream(spark, t):
+    return corpus.text_hash(t("conversations"), "conv_id", "turn", "text")
+
+
+@query(None)
+def embed_local_hash(spark, t):
+    return t("documents").select("doc_id", corpus.local_hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'edition' AS kind UNION ALL SELECT DISTINCT ON (conv_id) 'group' FROM conversations UNION ALL SELECT 'unit' FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY kind UNION ALL SELECT 'CONTAINS', (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations))")
+def graph_projection(spark, t):
+    nodes, edges = corpus.structural_projection(t("conversations"), "e", "conv_id", "turn")
+    count = F.count(F.lit(1)).alias("n")
+    return nodes.groupBy("kind").agg(count).unionByName(edges.groupBy(F.col("edge").alias("kind")).agg(count))
+
+
+@query("SELECT edge, count(*) AS n FROM (SELECT DISTINCT 'HAS' AS edge, p_partkey, p_brand FROM part) GROUP BY edge UNION ALL SELECT 'SAME', count(*) - count(DISTINCT p_brand) FROM part")
+def graph_value_chain(spark, t):
+    parts = t("part").select(F.col("p_partkey").cast("string").alias("token"), "p_brand", "p_partkey")
+    return corpus.value_projection(parts, "token", "p_brand", "HAS", "SAME", ["p_partkey"]).groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, CASE WHEN source = 'src3' THEN 'tombstoned' WHEN source = 'src4' THEN 'deactivated' ELSE 'active' END AS status, count(*) AS n FROM documents GROUP BY source")
+def source_lifecycle(spark, t):
+    sources = t("documents").select("source").distinct().withColumn("status", F.lit("active"))
+    for name, status in (("src3", "tombstoned"), ("src3", "active"), ("src4", "deactivated"), ("src4", "deactivated")):
+        sources = corpus.set_status(sources, "source", name, status)
+    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(sources, "source").select("source", "status", "n")
+
+
+@query("SELECT user_id, count(*) AS n, min(ts) AS oldest FROM events GROUP BY user_id HAVING count(*) > 1")
+def multiple_active(spark, t):
+    return t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest")).filter("n > 1")
+
+
+@query("SELECT event_id FROM events WHERE event_type = (SELECT max(event_type) FROM events) ORDER BY ts, event_id LIMIT 50")
+def outbox_pending(spark, t):
+    events = t("events")
+    last = events.agg(F.max("event_type").alias("last"))
+    outbox = events.join(F.broadcast(last)).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == F.col("last"), "pending").otherwise("dispatched").alias("state"))
+    return ledger.pending(outbox, 50).select(F.col("id").alias("event_id"))
+
+
+@query("SELECT a.doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id AND l.quality = 0)")
+def tombstone_filter(spark, t):
+    return ledger.not_buried(t("documents").select("doc_id"), t("labels").filter("quality = 0"), "doc_id")
