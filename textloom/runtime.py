@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        configured = f"file://{tempfile.mkdtemp(prefix='textloom-shared-')}"
+        folder = tempfile.mkdtemp(prefix="textloom-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        configured = f"file://{folder}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
