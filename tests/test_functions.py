@@ -76,3 +76,9 @@ def test_highlight(spark):
     ranges = lambda *r: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in r))
     row = spark.range(1).select(spans.highlight(F.lit("abcdef"), ranges((1, 2), (3, 5))).alias("a"), spans.highlight(F.lit("abcdef"), ranges((3, 5), (4, 6))).alias("b")).first()
     assert row["a"] == "a<mark>b</mark>c<mark>de</mark>f" and row["b"] is None
+
+
+def test_forms_and_fnv(spark):
+    rows = spark.createDataFrame([("e\u0301",), ("abc",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select(scalar.unicode_forms(F.col("t")), scalar.fnv1a(F.col("t"))).collect()]
+    assert got[0][0] == "NFD,NFKD" and got[1] == ("NFC,NFD,NFKC,NFKD", "e71fa2190541574b") and got[2] == (None, None)

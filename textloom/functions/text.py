@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Code points that a canonical text must not hold, as (reason, character class).
 FORBIDDEN = (
@@ -129,3 +133,38 @@ def first_difference(a: Column, b: Column) -> Column:
 def reference_text(*parts: Column) -> Column:
     """Parts joined by colons, nulls left out."""
     return F.concat_ws(":", *(x.cast("string") for x in parts))
+
+
+def unicode_forms(text: Column) -> Column:
+    """The normal forms that a text is in, of NFC, NFD, NFKC and NFKD, joined by commas."""
+    def run(texts: pd.Series) -> pd.Series:
+        names = ("NFC", "NFD", "NFKC", "NFKD")
+        return texts.map(lambda x: None if x is None else ",".join(names) if x.isascii() else ",".join(n for n in names if unicodedata.is_normalized(n, x)))
+
+    return F.pandas_udf(run, StringType())(text)
+
+
+def first_unexpected(text: Column, allowed: str = r"\x{20}\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}") -> Column:
+    """Index from 0 of the first character outside the allowed class, null where there is none."""
+    before = F.length(F.regexp_extract(text, rf"^[{allowed}]*", 0))
+    return F.when(before < F.length(text), before)
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
+    def run(texts: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            h = 0xCBF29CE484222325
+            for b in x.encode():
+                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            return f"{h:016x}"
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, StringType())(text)
+
+
+def cache_key(generation: Column, request: Column) -> Column:
+    return F.concat_ws(":", F.lit("v1"), generation.cast("string"), F.sha2(request, 256))

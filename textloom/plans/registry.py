@@ -181,6 +181,21 @@ def json_features(spark, t):
     return t("events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT doc_id, text = nfc_normalize(text) AS nfc FROM documents")
+def unicode_forms(spark, t):
+    return t("documents").select("doc_id", F.contains(F.concat(F.lit(","), scalar.unicode_forms(F.col("text")), F.lit(",")), F.lit(",NFC,")).alias("nfc"))
+
+
+@query(r"SELECT doc_id, CASE WHEN n < length(text) THEN n END AS at FROM (SELECT doc_id, text, length(regexp_extract(text, '^[A-Za-z .,\n]*')) AS n FROM documents)")
+def first_unexpected(spark, t):
+    return t("documents").select("doc_id", scalar.first_unexpected(F.col("text"), r"A-Za-z .,\n").cast("long").alias("at"))
+
+
+@query("SELECT item_id, 'v1:3:' || sha256(text) AS key FROM benchmark")
+def cache_keys(spark, t):
+    return t("benchmark").select("item_id", scalar.cache_key(F.lit(3), F.col("text")).alias("key"))
+
+
 # ---- filters, scans and full-text search ---------------------------------------------------------------------------
 
 
