@@ -42,7 +42,9 @@ MAX_FREQUENT = 1_000_000
 MAX_BROADCAST = 1_000_000
 #: Classes of a column that meet in one task.
 CHUNK = 4096
-FLUSH = 1_000_000
+FLUSH = 250_000
+#: Rows that Python gets at once, texts and pairs of whole sets.
+TEXT_ROWS, PAIR_ROWS = 2000, 200
 POSTING = np.dtype([("col", "<u8"), ("set", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("freq", "<i4")])
 
 
@@ -252,7 +254,7 @@ def multiply(table: pa.Table, percent: int) -> pa.Table:
             out["c"], out["sure"] = ~freq[x], freq[x]
             held.append(out)
             size += len(out)
-            if size > 2 * FLUSH:
+            if size > 8 * FLUSH:
                 held = [reduced()]
                 size = len(held[0])
         step += 1
@@ -326,7 +328,8 @@ def checked(docs: DataFrame, table: DataFrame, pairs: DataFrame, n: int, percent
     """The pairs whose whole sets are similar enough, stored."""
     wanted = runtime.stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
     sets = whole_sets(docs, table, wanted, n, id_col, text_col)
-    found = runtime.stored(verified(pairs, sets, percent), "verified")
+    with runtime.arrow_rows(docs.sparkSession, PAIR_ROWS):
+        found = runtime.stored(verified(pairs, sets, percent), "verified")
     runtime.drop(sets)
     runtime.release(docs.sparkSession)
     return found
@@ -334,8 +337,13 @@ def checked(docs: DataFrame, table: DataFrame, pairs: DataFrame, n: int, percent
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, set, component_id) of every row."""
+    runtime.ship(docs.sparkSession)
+    with runtime.arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return _join(docs, n, percent, id_col, text_col, blocks)
+
+
+def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, blocks: int | None) -> DataFrame:
     spark = docs.sparkSession
-    runtime.ship(spark)
     blocks = blocks or runtime.shuffle_partitions(spark)
     table = runtime.stored(set_table(docs, n, id_col, text_col), "set-table")
     frequent = spark.sparkContext.broadcast(frequent_columns(docs, n, id_col, text_col))
