@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom import runtime
 from textloom.llm import _text
@@ -40,6 +41,8 @@ SAMPLE, FREQUENT = 16, 5
 MAX_FREQUENT = 1_000_000
 #: Ids that may be broadcast to find the texts to verify; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
+#: Pivots that a class is compared with before the product.
+PIVOTS = 3
 #: Classes of a column that meet in one task.
 CHUNK = 4096
 FLUSH = 250_000
@@ -324,6 +327,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def star_pairs(columns: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the PIVOTS pivots that it meets most often."""
+    # frequent columns were spread over the blocks: the best of their pivots serves all; at most MAX_FREQUENT rows
+    first = F.struct((F.col("pivot_pos") / F.col("pivot_n")).alias("share"), F.col("pivot").alias("top"), F.col("pivot_n").alias("top_n"), F.col("pivot_pos").alias("top_pos"))
+    best = columns.filter("freq").groupBy("col").agg(F.min(first).alias("best")).select("col", "best.top", "best.top_n", "best.top_pos")
+    spread = columns.filter("freq").select("col", "set", "n", "pos").join(F.broadcast(best), "col").select("set", "n", "pos", F.col("top").alias("pivot"), F.col("top_n").alias("pivot_n"), F.col("top_pos").alias("pivot_pos"))
+    met = columns.filter("NOT freq").select(spread.columns).unionByName(spread).filter("set <> pivot")
+    reach = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))
+    stars = met.filter(reach).groupBy("set", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("c"))
+    # pairs that share little are left to the product
+    stars = stars.filter(4 * F.col("c") >= prefix_bound(F.col("n"), F.col("pivot_n"), percent))
+    order = Window.partitionBy("set").orderBy(F.desc("c"), "pivot")
+    stars = stars.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS)
+    return stars.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b"))
+
+
 def checked(docs: DataFrame, table: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets are similar enough, stored."""
     wanted = runtime.stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted")
@@ -350,11 +369,7 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, blo
 
     schema = "col long, set long, n int, pos int, freq boolean, pivot long, pivot_n int, pivot_pos int"
     columns = runtime.stored(postings(docs, n, percent, blocks, frequent, id_col, text_col).groupBy("block").applyInArrow(lambda t: meet_pivots(t, percent), schema), "columns")
-    reach = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))
-    stars = columns.filter((F.col("set") != F.col("pivot")) & reach).groupBy("set", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("c"))
-    # pairs that share little are left to the second step
-    stars = stars.filter(4 * F.col("c") >= prefix_bound(F.col("n"), F.col("pivot_n"), percent))
-    stars = stars.groupBy("set").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.least("set", "best.pivot").alias("a"), F.greatest("set", "best.pivot").alias("b"))
+    stars = star_pairs(columns, percent)
     stars = runtime.stored(stars.distinct(), "stars")
     runtime.release(spark)
     links = checked(docs, table, stars, n, percent, id_col, text_col)
