@@ -168,7 +168,9 @@ def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS
         t = np.abs(mean[1] - mean[0]) / np.sqrt(spread)
         t[np.bincount(inverse, minlength=len(words)) < least] = 0
         chain.words = np.sort(words[np.argsort(-t, kind="stable")[:max_units]])
-    x = chain.features(*_bytes([text for text, _ in rows])).astype(np.float64)
+    # slab by slab: hashing takes many times the bytes of its texts
+    found = [chain.features(data, off) for _, data, off in _text.slabs(pa.array([text for text, _ in rows], pa.large_string()))]
+    x = np.concatenate(found or [chain.features(*_bytes([]))]).astype(np.float64)
     fold = np.arange(len(rows)) % folds  # rows come in hash order
     for target in [y * held[c] for c in seeds] + [y]:
         apart = np.zeros(len(rows))
