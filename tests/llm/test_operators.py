@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -202,6 +203,26 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def rewrapped(text, width):
+    """Each paragraph on lines of at most that width."""
+    return "\n\n".join(textwrap.fill(" ".join(x.split()), width) for x in re.split(r"\n\s*\n", text))
+
+
+def test_licences_in_any_wrapping(spark):
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2020-2024 Some One", "ISC": "ISC License\n\nCopyright 2019, Some One <a@b.org>", "Zlib": "zlib License\n\n(C) 2019 Some One", "0BSD": "Copyright Some One", "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright (c) Some Inc.\nAll rights reserved.", "BSD-3-Clause": "Copyright \u00a9 2021 A\nCopyright (c) 2022 B"}
+    whole = [(k, x) for k, x in licenses.known_texts() if len(x) > 300]
+    assert sorted(k for k, _ in whole) == ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "ISC", "MIT", "Zlib"]
+    texts = [(k, head + y) for k, x in whole for head in ("", heads.get(k, "") + "\n\n") for y in (x, " ".join(x.split()), *(rewrapped(x, w) for w in (60, 66, 72, 78, 80, 95, 120)))]
+    apache = next(x for k, x in whole if k == "Apache-2.0")
+    gpl = next(x for k, x in whole if k == "GPL-3.0")
+    texts += [("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2024 Some One")), ("GPL-3.0", gpl[: gpl.index("How to Apply")])]
+    mit = next(x for k, x in whole if k == "MIT")
+    texts += [(None, mit.replace("COPYRIGHT HOLDERS", "OWNERS")), (None, mit.replace("\nCOPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR", "")), (None, mit + "\n\ncopyright law applies")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).collect()}
+    assert [(k, i, texts[i][1][:60]) for i, (k, _) in enumerate(texts) if got[i] != k] == []
+
+
 # ---- 6
 def brute_counts(text):
     text = text or ""

@@ -1,8 +1,12 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, equivalent spellings unified, copyright lines dropped, punctuation
-and white space reduced to single spaces. The SHA-256 digest of the whole form is hash-joined to the digests of known
-licence texts. Each line is looked up the same way, which finds notices within longer documents.
+A text is brought to a canonical form: lower case, equivalent spellings unified, copyright statements dropped, punctuation
+and white space reduced to single spaces. The form does not depend on where lines break. The SHA-256 digest of the whole
+form is hash-joined to the digests of known licence texts, with and without their titles and appendices. Each line is
+looked up the same way, which finds notices within longer documents.
+
+A copyright statement is a line that begins with "copyright" and a sign or year, with (c) and a year, or with a sign, or
+one that only says that all rights are reserved; at the head of the text, also other lines that begin with "copyright".
 
 Null and empty texts have the digest of the empty form and no licence. Repeated rows are returned once each. An empty
 table gives no rows. Extra columns are ignored.
@@ -10,10 +14,14 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Equivalent spellings as (pattern, replacement), the pattern of copyright lines, and known texts.
+# Equivalent spellings as (pattern, replacement), the pattern of copyright lines, and known texts. The SQL is
+# made of SPELLINGS, COPYRIGHT_LINE and KNOWN; it depends on line breaks and drops every line that begins with "copyright".
 SPELLINGS = (
     (r"\blicence", "license"),
     (r"\blicensed under the terms of", "licensed under"),
@@ -99,31 +107,94 @@ required.
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: What is replaced in turn, whatever the line breaks: spellings, then statements.
+_PROSE = r"(?![ \t]+(?:holder|owner|notice|statement|law|and|or|in|of|to|is|for|license|interest|disclaimer)s?\b)"
+_UNFILLED = r"(?![^\p{L}\n]*(?:\(c\))?[^\p{L}\n]*(?:year|yyyy))"
+_BODY = r"(?:everyone is permitted to copy|permission is hereby granted|permission to use, copy|redistribution and use in source|this software is provided 'as-is')"
+FORMS = (
+    (r"\r\n?", "\n"),
+    (r"\blicence", "license"),
+    (r"\blicensed\s+under\s+the\s+terms\s+of", "licensed under"),
+    (r"\bsub-\s*license", "sublicense"),
+    (r"\bnon-\s*infringement", "noninfringement"),
+    (r"\bnon-\s*commercial", "noncommercial"),
+    (r"&", " and "),
+    (r"https?://(www\.)?", " "),
+    (r"\bversion\s+([0-9])", "v$1"),
+    (r"\bv\.?\s?([0-9])", "v$1"),
+    # the steward's own statement is a part of its licence's first paragraph
+    (r"\bcopyright\s+\(c\)[\s0-9,-]+free\s+software\s+foundation,?\s+inc\b\.?(?:\s*<[^>]{0,40}>)?", " "),
+    (rf"[ \t]+(?={_BODY})", "\n"),
+    (rf"\A((?:[^\p{{L}}]*[^\n]{{0,60}}\blicense\b[^\n]{{0,30}}\n)?)(?:[^\p{{L}}©]*copyright\b{_PROSE}[^\n]*){{1,20}}", "$1"),
+    (rf"(?m)^[^\p{{L}}\n©]*(?:copyright{_UNFILLED}[^\p{{L}}\n]*(?:\(c\)|©|[0-9]{{4}})|©|\(c\)[^\p{{L}}\n]*(?:copyright\b{_UNFILLED}|[0-9]{{4}}))[^\n]*$", ""),
+    (r"(?m)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", ""),
+    (r"[^\p{L}\p{N}\n]+", " "),
+)
+
+#: Title lines of whole texts, which files have or leave out.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Apache-2.0": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",),
+}
+#: Where the appendix of a whole text begins.
+APPENDICES = {"Apache-2.0": "APPENDIX: How to apply", "GPL-3.0": "How to Apply These Terms"}
+#: A text of fewer characters is a notice and has no title.
+WHOLE = 300
+
+
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """KNOWN and the long texts of the package."""
+    return KNOWN + tuple((path.stem, path.read_text()) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def variants(license_id: str, text: str) -> list[str]:
+    """The text with and without its title, its appendix, the appendix's unfilled statement and the numbers of clauses."""
+    if len(text) < WHOLE:
+        return [text]
+    titles = TITLES.get(license_id, ())
+    plain = lambda x: " ".join(re.findall(r"\w+", x.lower()))
+    body = text.lstrip()
+    for title in titles:
+        if plain(body).startswith(plain(title)):
+            body = body[body.index(title.split()[-1]) + len(title.split()[-1]) :]
+    bodies = [body]
+    if license_id in APPENDICES:
+        bodies.append(body[: body.index(APPENDICES[license_id])])
+        bodies.append(re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", body))
+    bodies += [re.sub(r"(?m)^ *[0-9]\. ", "", x) for x in bodies if license_id.startswith("BSD")]
+    return [x for b in bodies for x in (b, *(f"{title}\n\n{b}" for title in titles))]
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form, lines kept apart; spaces may surround a line."""
     form = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    for pattern, replacement in SPELLINGS:
+    for pattern, replacement in FORMS:
         form = F.regexp_replace(form, pattern, replacement)
-    form = F.regexp_replace(form, COPYRIGHT_LINE, "")
-    return F.regexp_replace(form, r"[^\p{L}\p{N}\n]+", " ")
+    return form
 
 
 def digest_of_lines(lines: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(lines, r"[ \n]+", " ")), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license_id, digest), a row for each digest."""
-    table = spark.createDataFrame(list(known), "license_id string, text string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(license_id, digest), a row for each digest of a variant; of known_texts() by default."""
+    rows = [(k, x) for k, text in (known_texts() if known is None else known) for x in variants(k, text)]
+    table = spark.createDataFrame(rows, "license_id string, text string")
     return table.select("license_id", digest_of_lines(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license_id, notices): the licence that the whole text is, and those of its lines, sorted and joined by commas."""
     digests = known_digests(docs.sparkSession, known)
-    # one entry for each known text, so its size is that of the argument
-    lookup = F.map_from_entries(F.array(*(F.struct(F.lit(r["digest"]), F.lit(r["license_id"])) for r in digests.collect()))) if known else None
+    # some entries for each known text, so its size is that of the argument
+    lookup = F.map_from_entries(F.array(*(F.struct(F.lit(r["digest"]), F.lit(r["license_id"])) for r in digests.collect()))) if known is None or known else None
     forms = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
     if lookup is None:
         notices = F.lit("")
