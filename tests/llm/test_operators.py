@@ -265,6 +265,14 @@ def test_templates_and_slots(spark):
     assert decontaminate.find(docs, benchmark.limit(0)).filter("contaminated").count() == 0 and decontaminate.find(docs.limit(0), benchmark).count() == 0
 
 
+def test_one_conflicting_slot_leaves_literal_windows(spark):
+    item = "On the market Alice buys 3 kg of red apples for the old baker and after the rain has stopped she sells 3 kg to him"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("sells 3", "sells 8")), (2, item.replace("buys 3", "buys 8")), (3, item.replace("sells 3 kg to", "sells 3 kg near"))]
+    got = {r["doc_id"]: (r["contaminated"], r["reparameterised"]) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got[1] == got[2] == got[3] == (True, False)
+
+
 def test_shards_give_the_same_result(spark, sf):
     docs, benchmark = registry.table(spark, sf, "documents"), registry.table(spark, sf, "benchmark")
     one = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(docs, benchmark).collect()}

@@ -4,8 +4,9 @@ A text becomes template tokens: numbers, units and names are replaced by typed p
 lower-cased and stripped of punctuation at their ends. Windows of `width` template tokens are hashed and joined with
 the windows of the benchmark items. Hits of one item on one diagonal (document position minus item position) form a
 run; along a run the slots must be consistent: each value of the item stands for one value of the document wherever it
-returns. A document that covers at least `coverage` of an item's template tokens by consistent runs is contaminated,
-also where numbers, names or units were exchanged.
+returns. Where they are not, only windows count whose values are the item's own, as where a plain word was changed. A
+document that covers at least `coverage` of an item's template tokens so is contaminated, also where numbers, names or
+units were exchanged.
 
 The join's build side is the benchmark in shards of at most `shard_windows` windows, so what a task holds is bounded
 whatever the benchmark's size; each shard meets all documents. Items shorter than `width` tokens are compared by one
@@ -167,9 +168,12 @@ class Matcher:
         changed: dict[tuple[int, int], bool] = {}
         for (doc, k, shift), begins in hits.items():
             _, _, kinds, theirs = self.items[k]
-            places = np.unique(np.add.outer(np.array(begins), np.arange(self.width[k])))
-            ours = value[places + shift]
-            if consistent(kinds[places], ours, theirs[places]):
+            spread = np.add.outer(np.array(begins), np.arange(self.width[k]))
+            places = np.unique(spread)
+            if not consistent(kinds[places], value[places + shift], theirs[places]):
+                places = np.unique(spread[(value[spread + shift] == theirs[spread]).all(axis=1)])
+            if len(places):
+                ours = value[places + shift]
                 covered.setdefault((doc, k), set()).update(places.tolist())
                 differs = bool(((ours != theirs[places]) & (kinds[places] > 0)).any())
                 changed[doc, k] = changed.get((doc, k), False) or differs
