@@ -273,6 +273,14 @@ def test_one_conflicting_slot_leaves_literal_windows(spark):
     assert got[1] == got[2] == got[3] == (True, False)
 
 
+def test_names_that_open_sentences_and_glued_units(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 7 more. Tom gives 4 away. Tom eats 2. How many are left?"), (2, "Yesterday Mr. Smith ran 5kg of flour to town and Mr. Smith came 12th of the men"), (3, "A shop sells pens at 4 cents each and a child buys 10 of them with 50 cents left over")]
+    renamed = [items[0][1].replace("Tom", "Ann").replace("5", "6").replace("7", "9").replace("4", "3").replace("2", "1"), items[1][1].replace("Smith", "Jones").replace("5kg", "8 tons").replace("12th", "1st"), items[1][1].replace("5kg", "5 kg")]
+    rows = [*enumerate(renamed), (3, items[0][1]), (4, "so " + items[1][1].lower()), (5, renamed[0].replace("Ann buys", "Bob buys")), (6, items[0][1].replace("has", "had").replace("buys", "sold").replace("gives", "gave"))]
+    got = {r["doc_id"]: (r["item_id"], r["reparameterised"]) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[0] == (1, True) and got[1] == (2, True) and got[2] == (2, False) and got[3] == (1, False) and got[5] == got[6] == (None, None)
+
+
 def test_shards_give_the_same_result(spark, sf):
     docs, benchmark = registry.table(spark, sf, "documents"), registry.table(spark, sf, "benchmark")
     one = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(docs, benchmark).collect()}

@@ -6,7 +6,8 @@ the windows of the benchmark items. Hits of one item on one diagonal (document p
 run; along a run the slots must be consistent: each value of the item stands for one value of the document wherever it
 returns. Where they are not, only windows count whose values are the item's own, as where a plain word was changed. A
 document that covers at least `coverage` of an item's template tokens so is contaminated, also where numbers, names or
-units were exchanged.
+units were exchanged. Texts are met in two readings: words that open a sentence are plain words in the first, and
+names in the second unless they are common openers, so a sentence may begin with an exchanged name.
 
 The join's build side is the benchmark in shards of at most `shard_windows` windows, so what a task holds is bounded
 whatever the benchmark's size; each shard meets all documents. Items shorter than `width` tokens are compared by one
@@ -35,27 +36,40 @@ UNITS = frozenset(
     week weeks month months year years s min h hz khz mhz ghz w kw mw v a k c f celsius fahrenheit degree degrees
     percent dollar dollars cent cents euro euros usd eur gbp pa kpa bar n j kj cal kcal b kb mb gb tb""".split()
 )
+#: Words that are no names where they open a sentence.
+OPENERS = frozenset(
+    """a an the this that these those there here in on at by for from to of with as if when while where after before
+    during since until once then thus so and but or nor not no yes because although though however he she it they we
+    you his her its their our your my one two three some many all each every both any most few several another other
+    what which who whom whose why how is are was were do does did can could will would should may must let has have
+    had find given suppose calculate compute determine if now next first second last finally""".split()
+)
+ORDINALS = frozenset("st nd rd th".split())
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b"\"'`.,;:!?()[]{}<>*_#|&~-")] = True
 _DIGIT, _LOWERCASE, _UPPERCASE = (np.zeros(256, bool) for _ in range(3))
+_NUMERIC = np.zeros(256, bool)
+_NUMERIC[list(b"0123456789.,")] = True
 _DIGIT[48:58] = _LOWERCASE[97:123] = _UPPERCASE[65:91] = True
 #: Stand-ins for the hashes of slots.
 _SLOT = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x9FB21C651E98DF25], np.uint64)
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a slab: (token hashes, kinds, value hashes, first token of each text and their total).
+def template(data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Template tokens of a slab: ((token hashes, kinds) of each reading, value hashes, first token of each text and their total).
 
-    Tokens are runs of other than ASCII white space without ASCII punctuation at their ends. One with a digit and no
-    letter is a number; a unit word right after a number is a unit; a capitalised word with a small letter, not first
-    in its sentence, is a name. A sentence ends with . ! ? or a line's end. Latin-1 capitals are folded like ASCII ones.
+    Tokens are runs of other than ASCII white space without ASCII punctuation at their ends; letters right after a
+    number (5kg) are a token of their own. One with a digit and no letter, or an ordinal (12th), is a number; a unit word
+    right after a number is a unit; a capitalised word with a small letter, not first in its sentence, is a name, and in
+    the second reading also where it is first and no common opener. A sentence ends with . ! ? or a line's end. Latin-1
+    capitals are folded like ASCII ones.
     """
     from textloom.llm import _text as text
 
     n = len(data)
     starts, ends, first = text.spans(~text.SPACE[data], off)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), first
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.int8))] * 2, np.zeros(0, np.uint64), first
     accent = np.zeros(n, bool)  # second bytes of U+00C0 to U+00FF but the two signs
     accent[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
     big = accent & (data < 0xA0)
@@ -76,12 +90,32 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return total[np.maximum(end, begin)] - total[begin]
 
     begin = np.minimum(begin, n)
-    number = kept & (count(_DIGIT[data]) > 0) & (count(upper | lower | (data >= 0x80)) == 0)
+    letter = _UPPERCASE[data] | _LOWERCASE[data]
+    glued = np.flatnonzero(kept & _DIGIT[data[np.minimum(begin, n - 1)]] & letter[end - 1])
+    ordinal = np.zeros(len(starts), bool)
+    if len(glued):  # digits with separators, then letters only
+        cut = np.minimum.accumulate(np.where(letter, here, n)[::-1])[::-1][begin[glued]]
+        digits, letters = (np.concatenate([[0], np.cumsum(m, dtype=np.int32)]) for m in (_NUMERIC[data], letter))
+        ok = (digits[cut] - digits[begin[glued]] == cut - begin[glued]) & (letters[end[glued]] - letters[cut] == end[glued] - cut)
+        glued, cut = glued[ok], cut[ok]
+        nth = np.isin(text.span_hashes(folded, cut, end[glued]), _hashes(ORDINALS))
+        ordinal[glued[nth]] = True
+        glued, cut = glued[~nth], cut[~nth]
+        times = np.ones(len(starts), np.int64)
+        times[glued] = 2
+        first = np.concatenate([[0], np.cumsum(times)])[first]
+        left = np.cumsum(times)[glued] - 2
+        starts, ends, begin, end, kept, ordinal = (np.repeat(x, times) for x in (starts, ends, begin, end, kept, ordinal))
+        ends[left] = end[left] = starts[left + 1] = begin[left + 1] = cut
+    else:
+        left = glued
+    number = kept & (ordinal | (count(_DIGIT[data]) > 0) & (count(upper | lower | (data >= 0x80)) == 0))
     value = text.span_hashes(folded, begin, np.maximum(end, begin))
     tail = data[ends - 1]
     closes = (tail == 0x2E) | (tail == 0x21) | (tail == 0x3F)
     inside = ends < n
     closes[inside] |= data[ends[inside]] == 0x0A
+    closes[left] = False
     opens = np.ones(len(starts), bool)
     opens[1:] = closes[:-1]
     opens[first[:-1][first[:-1] < len(starts)]] = True
@@ -89,15 +123,16 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     capital = _UPPERCASE[data[at]]
     two = at < n - 1
     capital[two] |= big[at[two] + 1] & (data[at[two]] == 0xC3)
-    name = kept & capital & (count(lower) > 0) & ~opens
+    proper = kept & capital & (count(lower) > 0)
+    names = proper & ~opens, proper & ~(opens & np.isin(value, _hashes(OPENERS)))
     unit = np.zeros(len(starts), bool)
     unit[1:] = number[:-1]
     unit[first[:-1][first[:-1] < len(starts)]] = False
-    unit &= kept & np.isin(value, _units())
-    kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD).astype(np.int8)
-    token = np.where(kind > 0, _SLOT[kind], value)
+    unit &= kept & np.isin(value, _hashes(UNITS))
+    kinds = [np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD).astype(np.int8)[kept] for name in names]
+    value = value[kept]
     index = np.concatenate([[0], np.cumsum(kept)])
-    return token[kept], kind[kept], value[kept], index[first]
+    return [(np.where(kind > 0, _SLOT[kind], value), kind) for kind in kinds], value, index[first]
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,21 +140,21 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int64)
 
 
-_unit_hashes: list[np.ndarray] = []
+_known_hashes: dict[frozenset[str], np.ndarray] = {}
 
 
-def _units() -> np.ndarray:
+def _hashes(words: frozenset[str]) -> np.ndarray:
     from textloom.llm import _text as text
 
-    if not _unit_hashes:
-        data, off = _bytes(sorted(UNITS))
-        _unit_hashes.append(text.span_hashes(data, off[:-1], off[1:]))
-    return _unit_hashes[0]
+    if words not in _known_hashes:
+        data, off = _bytes(sorted(words))
+        _known_hashes[words] = text.span_hashes(data, off[:-1], off[1:])
+    return _known_hashes[words]
 
 
-def read_item(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    token, kind, value, _ = template(*_bytes([text]))
-    return token, kind, value
+def read_item(text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    readings, value, _ = template(*_bytes([text]))
+    return readings, value
 
 
 def consistent(kinds: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
@@ -130,44 +165,46 @@ def consistent(kinds: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
 
 
 class Matcher:
-    """One shard of the benchmark, (item id, tokens, kinds, values) each, ready to meet slabs of texts."""
+    """One shard of the benchmark, (item id, (tokens, kinds) of each reading, values) each, ready to meet slabs of texts."""
 
     def __init__(self, items: list, width: int, coverage: float) -> None:
         from textloom.llm import _text as text
 
         self.items, self.coverage, self.by_width = items, coverage, {}
-        self.width = [min(width, len(x[1])) for x in items]
-        for own in sorted(set(self.width)):
-            keys, item, at = [], [], []
-            for k, (_, tokens, _, _) in enumerate(items):
-                if self.width[k] == own:
-                    where, found = text.windows(tokens, np.array([0, len(tokens)]), own)
-                    keys.append(found)
-                    item.append(np.full(len(found), k))
-                    at.append(where)
-            key, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
-            order = np.argsort(key, kind="stable")
-            self.by_width[own] = key[order], item[order], at[order]
+        self.width = [min(width, len(x[2])) for x in items]
+        for reading in range(2):
+            for own in sorted(set(self.width)):
+                keys, item, at = [], [], []
+                for k, (_, readings, values) in enumerate(items):
+                    if self.width[k] == own:
+                        where, found = text.windows(readings[reading][0], np.array([0, len(values)]), own)
+                        keys.append(found)
+                        item.append(np.full(len(found), k))
+                        at.append(where)
+                key, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
+                order = np.argsort(key, kind="stable")
+                self.by_width[reading, own] = key[order], item[order], at[order]
 
     def match(self, data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[object, float, bool]]]:
         """text -> [(item, share of its tokens covered, whether slots differ)] for the contaminated texts of a slab."""
         from textloom.llm import _text as text
 
-        token, kind, value, first = template(data, off)
+        readings, value, first = template(data, off)
         own = text.owners(first)
-        hits: dict[tuple[int, int, int], list[int]] = {}
-        for width, (key, item, at) in self.by_width.items():
-            where, found = text.windows(token, first, width)
+        hits: dict[tuple[int, int, int, int], list[int]] = {}
+        for (reading, width), (key, item, at) in self.by_width.items():
+            where, found = text.windows(readings[reading][0], first, width)
             low = np.searchsorted(key, found, "left")
             hit = np.flatnonzero(key[np.minimum(low, len(key) - 1)] == found)
             high = np.searchsorted(key, found[hit], "right")
             for p, a, b in zip(where[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
                 for q in range(a, b):
-                    hits.setdefault((int(own[p]), int(item[q]), p - int(at[q])), []).append(int(at[q]))
+                    hits.setdefault((int(own[p]), int(item[q]), p - int(at[q]), reading), []).append(int(at[q]))
         covered: dict[tuple[int, int], set[int]] = {}
         changed: dict[tuple[int, int], bool] = {}
-        for (doc, k, shift), begins in hits.items():
-            _, _, kinds, theirs = self.items[k]
+        for (doc, k, shift, reading), begins in hits.items():
+            _, both, theirs = self.items[k]
+            kinds = both[reading][1]
             spread = np.add.outer(np.array(begins), np.arange(self.width[k]))
             places = np.unique(spread)
             if not consistent(kinds[places], value[places + shift], theirs[places]):
@@ -179,7 +216,7 @@ class Matcher:
                 changed[doc, k] = changed.get((doc, k), False) or differs
         out: dict[int, list[tuple[object, float, bool]]] = {}
         for (doc, k), places in covered.items():
-            share = len(places) / len(self.items[k][1])
+            share = len(places) / len(self.items[k][2])
             if share >= self.coverage:
                 out.setdefault(doc, []).append((self.items[k][0], share, changed[doc, k]))
         return out
@@ -190,9 +227,9 @@ def shards(benchmark: DataFrame, shortest: int, shard_windows: int, item_col: st
     held, size = [], 0
     for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL").toLocalIterator():
         one = read_item(row["t"])
-        if len(one[0]) >= shortest:
+        if len(one[1]) >= shortest:
             held.append((row["i"], *one))
-            size += len(one[0])
+            size += len(one[1])
         if size >= shard_windows:
             yield held
             held, size = [], 0
