@@ -292,6 +292,14 @@ def test_shards_give_the_same_result(spark, sf):
     assert decontaminate.keep(docs, benchmark, shard_windows=500).count() == sum(not hit for hit, _ in one.values())
 
 
+def test_shards_keep_every_row(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(3)]
+    rows = [(1, items[0][1]), (1, items[1][1]), (1, items[0][1]), (2, "other words"), (None, items[2][1]), (None, None), (None, "more")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted((tuple(r) for r in decontaminate.find(docs, benchmark, shard_windows=size).collect()), key=str) for size in (1_000_000, 10))
+    assert one == many and len(one) == len(rows) and sum(r[1] for r in one) == 4
+
+
 # ---- 8
 def test_token_files(spark, odd, none):
     folder = runtime.fresh_dir(spark, "tokens")

@@ -19,6 +19,7 @@ or clean rows. Extra columns are kept by `keep` and ignored elsewhere.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,17 +266,24 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float
     """A row for each document: (doc_id, contaminated, item_id, coverage, reparameterised, n_items); item_id is that of the best covered item."""
     named = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
     kind = benchmark.schema[item_col].dataType
-    parts = [matches(named, items, ["doc_id"], width, coverage, text_col, False) for items in shards(benchmark, shortest, shard_windows, item_col, item_text_col)]
+    met = shards(benchmark, shortest, shard_windows, item_col, item_text_col)
+    held = list(itertools.islice(met, 2))
+    several = len(held) == 2
+    if several:  # a written key of each row, the same for all shards
+        named = runtime.stored(named.select("doc_id", F.col(text_col).cast("string").alias("d_text"), F.monotonically_increasing_id().alias("d_row")), "decontaminate")
+        text_col = "d_text"
+    columns = ["doc_id", "d_row"] if several else ["doc_id"]
+    parts = [matches(named, items, columns, width, coverage, text_col, False) for items in itertools.chain(held, met)]
     if not parts:
         return named.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(None).cast("boolean").alias("reparameterised"), F.lit(0).alias("n_items"))
     if len(parts) == 1:
         rows = parts[0]
-    else:  # a document has one row for each shard
+    else:  # an input row has one row for each shard
         rows = parts[0]
         for other in parts[1:]:
             rows = rows.unionByName(other)
         best = F.struct("d_coverage", "d_item", "d_changed")
-        rows = rows.groupBy("doc_id").agg(F.max(best).alias("b"), F.sum("d_items").cast("int").alias("d_items")).select("doc_id", "b.*", "d_items")
+        rows = rows.groupBy("d_row").agg(F.first("doc_id").alias("doc_id"), F.max(best).alias("b"), F.sum("d_items").cast("int").alias("d_items")).select("doc_id", "b.*", "d_items")
     return rows.select("doc_id", (F.col("d_items") > 0).alias("contaminated"), F.col("d_item").cast(kind).alias("item_id"), F.col("d_coverage").alias("coverage"), F.col("d_changed").alias("reparameterised"), F.col("d_items").alias("n_items"))
 
 
