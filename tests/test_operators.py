@@ -154,3 +154,12 @@ def test_ledgers(spark):
     assert [r["id"] for r in ledger.claim(jobs, F.lit(10), 2).collect()] == [4, 1]
     events = spark.createDataFrame([("a", 1, "new"), ("a", 2, "done"), ("b", 1, "done")], "e string, o int, state string")
     assert [(r["e"], r["o"]) for r in ledger.transitions(events, "e", ["o"], "state", [(None, "new"), ("new", "done")]).collect()] == [("b", 1)]
+
+
+def test_families_give_every_pair(spark):
+    rows = [("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("k", 4, "c"), ("l", 5, "a"), ("l", 6, "b"), ("l", 1, "c"), ("m", 7, "a"), (None, 8, "a"), (None, 9, "b"), ("k", 1, "a")]
+    frame = spark.createDataFrame(rows, "key string, item int, kind string")
+    classes = [tuple(r) for r in joins.family_classes(frame, "key", "item", "kind").collect()]
+    members = [tuple(r) for r in joins.family_members(frame, "key", "item", "kind").collect()]
+    derived = sorted((key, x, y) for key, lo, low, hi, high in classes for k1, c1, x, r1 in members if (k1, c1, r1) == (key, lo, low) for k2, c2, y, r2 in members if (k2, c2, r2) == (key, hi, high))
+    assert derived == sorted({(k, x, y) for k, x, a in rows for j, y, b in rows if k is not None and k == j and a < b}) and len(derived) == 8

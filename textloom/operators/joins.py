@@ -65,6 +65,24 @@ def families(rows: DataFrame, key: str, item: str, kind: str) -> DataFrame:
     return firsts.withColumn("next", F.lead(item).over(w)).filter("next IS NOT NULL").select(key, F.least(item, "next").alias("low"), F.greatest(item, "next").alias("high"))
 
 
+def family_members(rows: DataFrame, key: str, item: str, kind: str) -> DataFrame:
+    """(key, kind, item, representative): each item with the least item of its key and kind. Null keys, kinds and items are ignored.
+
+    With family_classes it gives every pair of items that share a key and differ in kind: the members of linked classes.
+    """
+    held = rows.select(key, kind, item).dropna().distinct()
+    least = held.groupBy(key, kind).agg(F.min(item).alias("representative"))
+    return held.join(least, [key, kind]).select(key, kind, item, "representative")
+
+
+def family_classes(rows: DataFrame, key: str, item: str, kind: str) -> DataFrame:
+    """(key, low_kind, low, high_kind, high): the representatives of every two kinds that share a key; low_kind is the lesser kind."""
+    least = rows.select(key, kind, item).dropna().groupBy(key, kind).agg(F.min(item).alias(item))
+    a = least.select(key, F.col(kind).alias("low_kind"), F.col(item).alias("low"))
+    b = least.select(key, F.col(kind).alias("high_kind"), F.col(item).alias("high"))
+    return a.join(b, key).filter("low_kind < high_kind").select(key, "low_kind", "low", "high_kind", "high")
+
+
 def multiset_dice(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, form: Column) -> DataFrame:
     """(doc_id, item_id, shared, score): Dice overlap of token multisets, over pairs that share a token.
 

@@ -415,6 +415,16 @@ def family_pairs(spark, t):
     return joins.families(t("part"), "p_brand", "p_partkey", "p_type")
 
 
+@query("SELECT p_brand, p_type, p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS representative FROM part")
+def family_members(spark, t):
+    return joins.family_members(t("part"), "p_brand", "p_partkey", "p_type")
+
+
+@query("""SELECT a.p_brand, a.p_type AS low_kind, min(a.p_partkey) AS low, b.p_type AS high_kind, min(b.p_partkey) AS high FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type < b.p_type GROUP BY ALL""")
+def family_classes(spark, t):
+    return joins.family_classes(t("part"), "p_brand", "p_partkey", "p_type")
+
+
 @query(f"""WITH i AS (SELECT item_id, {words('lower(text)')} AS w FROM benchmark), a AS (SELECT doc_id, len(w) AS nd, w FROM {_W}),
 ci AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(w) AS token FROM i) GROUP BY ALL), cd AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, unnest(w) AS token FROM a) GROUP BY ALL),
 s AS (SELECT doc_id, item_id, sum(least(ci.c, cd.c))::BIGINT AS shared FROM cd JOIN ci USING (token) GROUP BY ALL)
