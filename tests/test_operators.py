@@ -163,3 +163,19 @@ def test_families_give_every_pair(spark):
     members = [tuple(r) for r in joins.family_members(frame, "key", "item", "kind").collect()]
     derived = sorted((key, x, y) for key, lo, low, hi, high in classes for k1, c1, x, r1 in members if (k1, c1, r1) == (key, lo, low) for k2, c2, y, r2 in members if (k2, c2, r2) == (key, hi, high))
     assert derived == sorted({(k, x, y) for k, x, a in rows for j, y, b in rows if k is not None and k == j and a < b}) and len(derived) == 8
+
+
+def test_signatures_of_documents(spark, tmp_path):
+    import hashlib
+
+    from textloom.plans import registry
+
+    texts = ["the cat sat on the mat", "abc", "ab" * 2000, "Ünï cödé"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: rows_of(registry.queries()[name](spark, str(tmp_path))) for name in ("minhash64_documents", "trigrams_documents", "shingles_documents")}
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in texts]
+    grams = [sorted({x[k : k + 3] for k in range(len(x) - 2)}) for x in texts]
+    least = lambda g, slot: min(hashlib.sha256(f"{slot}:{x}".encode()).hexdigest()[:16] for x in g)
+    assert got["minhash64_documents"] == sorted(((d, k, least(g, k)) for d, g in enumerate(sets) for k in range(64)), key=str)
+    assert got["shingles_documents"] == [(d, len(g)) for d, g in enumerate(sets)]
+    assert got["trigrams_documents"] == sorted(((d, len(g), hashlib.sha256("|".join(g).encode()).hexdigest()) for d, g in enumerate(grams)), key=str)

@@ -144,6 +144,24 @@ def minhash_signature(spark, t):
     return t("benchmark").select("item_id", g.alias("g")).select("item_id", F.explode(slots).alias("s")).select("item_id", "s.*")
 
 
+@query(None)
+def minhash64_documents(spark, t):
+    g = scalar.shingles(F.col("text"), 5)
+    slots = F.array(*(F.struct(F.lit(k).alias("slot"), scalar.minhash_slot(F.col("g"), k).alias("minimum")) for k in range(64)))
+    return t("documents").select("doc_id", g.alias("g")).select("doc_id", F.explode(slots).alias("s")).select("doc_id", "s.*")
+
+
+@query(None)
+def trigrams_documents(spark, t):
+    g = scalar.trigrams(F.col("text"))
+    return t("documents").select("doc_id", F.size(g).cast("long").alias("n"), F.sha2(F.array_join(g, "|"), 256).alias("grams"))
+
+
+@query(None)
+def shingles_documents(spark, t):
+    return t("documents").select("doc_id", F.size(scalar.shingles(F.col("text"), 5)).cast("long").alias("n"))
+
+
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS hash, octet_length(encode(text))::BIGINT AS n_bytes, length(text)::BIGINT AS n_chars FROM documents")
 def hash_text(spark, t):
     return t("documents").select("doc_id", scalar.tagged_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"))
