@@ -135,6 +135,14 @@ def test_one_of_each_component_stays(odd, none):
     assert ngram_join.keep(none).count() == 0
 
 
+def test_near_copies_without_an_id_link_documents(spark):
+    w = [f"w{k}" for k in range(200)]
+    bridge, left, right = w, [*w[:184], *(f"l{k}" for k in range(16))], [*(f"r{k}" for k in range(16)), *w[16:]]
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (None, " ".join(bridge)), (None, " ".join(bridge)), (None, "some other text that has no near copy")]
+    got = found_components(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_components(rows) and got[(2, 196, 1)] == 1
+
+
 # ---- 3
 def test_packing(odd, none):
     got = packing.pack(odd, registry.vocabulary(), capacity=64).collect()

@@ -294,7 +294,8 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
     holders = wanted.join(table, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     holders = runtime.stored(holders, "holders")
     few = holders.count() <= MAX_BROADCAST
-    rows = _rows(docs, id_col, text_col).join(F.broadcast(holders) if few else holders, "doc_id", "left_semi")
+    holders = holders.withColumnRenamed("doc_id", "holder")  # null where only rows without an id hold a class
+    rows = _rows(docs, id_col, text_col).join(F.broadcast(holders) if few else holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,6 +305,8 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["set", "grams"])
 
     found = rows.mapInArrow(run, "set long, grams binary").join(F.broadcast(wanted) if few else wanted, "set", "left_semi")
+    if not holders.filter("holder IS NULL").isEmpty():  # many rows without an id may hold one class
+        found = found.dropDuplicates(["set"])
     return runtime.stored(found, "sets")
 
 
