@@ -4,7 +4,8 @@ Texts are rows and n-gram hashes columns of a sparse matrix. Rows with equal n-g
 Each class posts the first entries of its row (the prefix), rarest columns first: a linked pair shares a column of both
 prefixes. The columns are dealt in blocks, and three steps follow.
 
-1. In every column the class that meets it earliest is the pivot. Each class is compared with the pivot it meets most
+1. In every column the class with the smallest share of rare columns is the pivot, of equals the largest: among near
+   copies the one with the fewest changes, whatever the column. Each class is compared with the pivots it meets most
    often. These stars tie groups of near copies together without their pairs.
 2. The product: within the blocks, overlap counts are accumulated for the pairs of a column whose classes are not yet in
    one component. Pairs of unlike size are never formed. A pair is discarded if its count cannot reach the bound that
@@ -48,7 +49,10 @@ CHUNK = 4096
 FLUSH = 250_000
 #: Rows that Python gets at once, texts and pairs of whole sets.
 TEXT_ROWS, PAIR_ROWS = 2000, 200
-POSTING = np.dtype([("col", "<u8"), ("set", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("freq", "<i4")])
+#: n: size of the set; pos: place of the column in the prefix; freq: whether the column is frequent; n_freq: frequent columns of the prefix.
+POSTING = np.dtype([("col", "<u8"), ("set", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("freq", "?"), ("n_freq", "<i4")])
+#: Steps of the share of rare columns by which pivots are chosen.
+STEPS = 16
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,12 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def rank(n, n_freq, percent: int):
+    """The order of pivots: steps of the share of rare columns in the prefix, then larger sets first."""
+    length = prefix_length(n, percent)
+    return (STEPS * (length - n_freq) // length).astype(np.int64) << 32 | (1 << 31) - n.astype(np.int64)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -141,7 +151,7 @@ def postings(docs: DataFrame, n: int, percent: int, blocks: int, frequent, id_co
 
         def flush() -> pa.RecordBatch:
             got = np.concatenate(held)
-            spread = got["col"] + np.where(got["freq"] > 0, got["set"].view(np.uint64) % np.uint64(16), np.uint64(0))
+            spread = got["col"] + np.where(got["freq"], got["set"].view(np.uint64) % np.uint64(16), np.uint64(0))
             block = (spread % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             got, block = got[order], block[order]
@@ -174,7 +184,8 @@ def postings(docs: DataFrame, n: int, percent: int, blocks: int, frequent, id_co
                 pos = np.arange(len(h)) - begin
                 front = pos < prefix_length(count[own], percent)
                 out = np.zeros(int(front.sum()), POSTING)
-                out["col"], out["set"], out["n"], out["pos"], out["freq"] = h[front], ids[own[front]], count[own[front]], pos[front], np.minimum(freq[front], 1 << 30)
+                often = np.bincount(own[front], freq[front] > 0, minlength=len(ids))
+                out["col"], out["set"], out["n"], out["pos"], out["freq"], out["n_freq"] = h[front], ids[own[front]], count[own[front]], pos[front], freq[front] > 0, often[own[front]]
                 held.append(out)
                 size += len(out)
                 if size >= FLUSH:
@@ -189,7 +200,7 @@ def postings(docs: DataFrame, n: int, percent: int, blocks: int, frequent, id_co
 def meet_pivots(table: pa.Table, percent: int) -> pa.Table:
     """The entries of a block's columns that hold two classes or more, with each column's pivot."""
     got = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("payload")])
-    order = np.lexsort((got["set"], got["pos"] / got["n"], got["col"]))
+    order = np.lexsort((_text.mix(got["set"].view(np.uint64)), rank(got["n"], got["n_freq"], percent), got["col"]))
     got = got[order]
     new = np.ones(len(got), bool)  # copies of a class stand together
     new[1:] = (got["col"][1:] != got["col"][:-1]) | (got["set"][1:] != got["set"][:-1])
@@ -205,12 +216,12 @@ def meet_pivots(table: pa.Table, percent: int) -> pa.Table:
     like = (column[a] == column[b]) & (100 * got["n"][a].astype(np.int64) >= percent * got["n"][b].astype(np.int64))
     near[a[like]] = near[b[like]] = True
     # a frequent column is spread over blocks: its entries are kept even where one class stands alone
-    kept = near | (got["freq"] > 0)
+    kept = near | got["freq"]
     pivot = got[start[column]][kept]
     got = got[kept]
     return pa.table({
-        "col": pa.array(got["col"].view(np.int64)), "set": pa.array(got["set"]), "n": pa.array(got["n"]), "pos": pa.array(got["pos"]), "freq": pa.array(got["freq"] > 0),
-        "pivot": pa.array(pivot["set"]), "pivot_n": pa.array(pivot["n"]), "pivot_pos": pa.array(pivot["pos"]),
+        "col": pa.array(got["col"].view(np.int64)), "set": pa.array(got["set"]), "n": pa.array(got["n"]), "pos": pa.array(got["pos"]), "freq": pa.array(got["freq"]),
+        "n_freq": pa.array(got["n_freq"]), "pivot": pa.array(pivot["set"]), "pivot_n": pa.array(pivot["n"]), "pivot_rank": pa.array(rank(pivot["n"], pivot["n_freq"], percent)),
     })
 
 
@@ -273,11 +284,9 @@ def prefix_bound(a, b, percent: int):
 def candidates(columns: DataFrame, roots: DataFrame, percent: int, blocks: int) -> DataFrame:
     """(a, b) of the pairs of different components that the bounds do not discard."""
     labelled = columns.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    entries = runtime.stored(labelled.select("col", "set", "root", "n", "pos", "freq"), "entries")
-    own = entries.filter("freq").groupBy("set").agg(F.count(F.lit(1)).cast("int").alias("n_freq"))
+    entries = runtime.stored(labelled.select("col", "set", "root", "n", "pos", "freq", "n_freq"), "entries")
     mixed = entries.groupBy("col").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col", F.expr(f"cast(ceil(size / {CHUNK}) as int) AS chunks"))
-    rows = entries.join(mixed, "col").join(own, "set", "left").withColumn("n_freq", F.coalesce("n_freq", F.lit(0)))
-    rows = rows.withColumn("side", F.expr("cast(pmod(xxhash64(set), chunks) as int)"))
+    rows = entries.join(mixed, "col").withColumn("side", F.expr("cast(pmod(xxhash64(set), chunks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumn("part", F.least("side", "other") * F.col("chunks") + F.greatest("side", "other")).withColumn("crossed", F.col("side") != F.col("other"))
     # a chunk meets itself in the parts where side = other, and another chunk only across
@@ -293,7 +302,7 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
     """(set, grams): the packed sets of the wanted classes, from one row of each."""
     holders = wanted.join(table, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     holders = runtime.stored(holders, "holders")
-    few = holders.count() <= MAX_BROADCAST
+    few, few_wanted = holders.count() <= MAX_BROADCAST, wanted.count() <= MAX_BROADCAST
     holders = holders.withColumnRenamed("doc_id", "holder")  # null where only rows without an id hold a class
     rows = _rows(docs, id_col, text_col).join(F.broadcast(holders) if few else holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
 
@@ -304,7 +313,7 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
                 raw, cuts = h.tobytes(), (8 * first).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["set", "grams"])
 
-    found = rows.mapInArrow(run, "set long, grams binary").join(F.broadcast(wanted) if few else wanted, "set", "left_semi")
+    found = rows.mapInArrow(run, "set long, grams binary").join(F.broadcast(wanted) if few_wanted else wanted, "set", "left_semi")
     if not holders.filter("holder IS NULL").isEmpty():  # many rows without an id may hold one class
         found = found.dropDuplicates(["set"])
     return runtime.stored(found, "sets")
@@ -333,12 +342,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def star_pairs(columns: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class with the PIVOTS pivots that it meets most often."""
     # frequent columns were spread over the blocks: the best of their pivots serves all; at most MAX_FREQUENT rows
-    first = F.struct((F.col("pivot_pos") / F.col("pivot_n")).alias("share"), F.col("pivot").alias("top"), F.col("pivot_n").alias("top_n"), F.col("pivot_pos").alias("top_pos"))
-    best = columns.filter("freq").groupBy("col").agg(F.min(first).alias("best")).select("col", "best.top", "best.top_n", "best.top_pos")
-    spread = columns.filter("freq").select("col", "set", "n", "pos").join(F.broadcast(best), "col").select("set", "n", "pos", F.col("top").alias("pivot"), F.col("top_n").alias("pivot_n"), F.col("top_pos").alias("pivot_pos"))
+    first = F.struct("pivot_rank", F.xxhash64("pivot").alias("mixed"), F.col("pivot").alias("top"), F.col("pivot_n").alias("top_n"))
+    best = columns.filter("freq").groupBy("col").agg(F.min(first).alias("best")).select("col", "best.top", "best.top_n")
+    spread = columns.filter("freq").select("col", "set", "n").join(F.broadcast(best), "col").select("set", "n", F.col("top").alias("pivot"), F.col("top_n").alias("pivot_n"))
     met = columns.filter("NOT freq").select(spread.columns).unionByName(spread).filter("set <> pivot")
-    reach = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))
-    stars = met.filter(reach).groupBy("set", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("c"))
+    like = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    stars = met.filter(like).groupBy("set", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("c"))
     # pairs that share little are left to the product
     stars = stars.filter(4 * F.col("c") >= prefix_bound(F.col("n"), F.col("pivot_n"), percent))
     order = Window.partitionBy("set").orderBy(F.desc("c"), "pivot")
@@ -370,7 +379,7 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, blo
     table = runtime.stored(set_table(docs, n, id_col, text_col), "set-table")
     frequent = spark.sparkContext.broadcast(frequent_columns(docs, n, id_col, text_col))
 
-    schema = "col long, set long, n int, pos int, freq boolean, pivot long, pivot_n int, pivot_pos int"
+    schema = "col long, set long, n int, pos int, freq boolean, n_freq int, pivot long, pivot_n int, pivot_rank long"
     columns = runtime.stored(postings(docs, n, percent, blocks, frequent, id_col, text_col).groupBy("block").applyInArrow(lambda t: meet_pivots(t, percent), schema), "columns")
     stars = star_pairs(columns, percent)
     stars = runtime.stored(stars.distinct(), "stars")
