@@ -81,6 +81,12 @@ def slabs(column, max_bytes: int = SLAB_BYTES) -> Iterator[tuple[int, np.ndarray
         at = upto
 
 
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts."""
+    raw = [x.encode() for x in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int64)
+
+
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs where inside holds, never across texts: (starts, ends, first run of each text and their total)."""
     n = len(inside)

@@ -10,11 +10,13 @@ units were exchanged. Texts are met in two readings: words that open a sentence
 names in the second unless they are common openers, so a sentence may begin with an exchanged name.
 
 The join's build side is the benchmark in shards of at most `shard_windows` windows, so what a task holds is bounded
-whatever the benchmark's size; each shard meets all documents. Items shorter than `width` tokens are compared by one
-window of their own length, of at least `shortest` tokens; shorter items are ignored.
+whatever the benchmark's size; each shard meets all documents, and equal texts of items are met once. Items shorter than
+`width` tokens are compared by one window of their own length; of fewer than `literal_below` tokens, a template says too
+little, so they must occur word for word, values included.
 
-Null and empty texts are clean. Null items are ignored. Repeated rows are judged once each. Empty tables give no rows
-or clean rows. Extra columns are kept by `keep` and ignored elsewhere.
+Null and empty texts are clean, also those with a null id. Null items and items without a token are ignored. Repeated
+rows are judged once each, whatever the number of shards. Of items that a text covers alike, the greatest id is named.
+Empty tables give no rows or clean rows. Extra columns of any name are kept by `keep` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom import runtime
+from textloom.llm import _text as text
 
 NUMBER, UNIT, NAME, WORD = 1, 2, 3, 0
 # Words that are units where they follow a number.
@@ -65,8 +69,6 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray,
     the second reading also where it is first and no common opener. A sentence ends with . ! ? or a line's end. Latin-1
     capitals are folded like ASCII ones.
     """
-    from textloom.llm import _text as text
-
     n = len(data)
     starts, ends, first = text.spans(~text.SPACE[data], off)
     if not len(starts):
@@ -136,25 +138,18 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray,
     return [(np.where(kind > 0, _SLOT[kind], value), kind) for kind in kinds], value, index[first]
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x.encode() for x in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int64)
-
-
 _known_hashes: dict[frozenset[str], np.ndarray] = {}
 
 
 def _hashes(words: frozenset[str]) -> np.ndarray:
-    from textloom.llm import _text as text
-
     if words not in _known_hashes:
-        data, off = _bytes(sorted(words))
+        data, off = text.joined(sorted(words))
         _known_hashes[words] = text.span_hashes(data, off[:-1], off[1:])
     return _known_hashes[words]
 
 
-def read_item(text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    readings, value, _ = template(*_bytes([text]))
+def read_item(item: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    readings, value, _ = template(*text.joined([item]))
     return readings, value
 
 
@@ -166,19 +161,18 @@ def consistent(kinds: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
 
 
 class Matcher:
-    """One shard of the benchmark, (item id, (tokens, kinds) of each reading, values) each, ready to meet slabs of texts."""
-
-    def __init__(self, items: list, width: int, coverage: float) -> None:
-        from textloom.llm import _text as text
+    """One shard of the benchmark, (item ids, (tokens, kinds) of each reading, values) each, ready to meet slabs of texts."""
 
+    def __init__(self, items: list, width: int, coverage: float, literal_below: int) -> None:
         self.items, self.coverage, self.by_width = items, coverage, {}
         self.width = [min(width, len(x[2])) for x in items]
-        for reading in range(2):
-            for own in sorted(set(self.width)):
+        self.literal = [len(x[2]) < literal_below for x in items]
+        for reading, literal in ((0, False), (1, False), (2, True)):
+            for own in sorted({w for w, x in zip(self.width, self.literal, strict=True) if x == literal}):
                 keys, item, at = [], [], []
                 for k, (_, readings, values) in enumerate(items):
-                    if self.width[k] == own:
-                        where, found = text.windows(readings[reading][0], np.array([0, len(values)]), own)
+                    if self.width[k] == own and self.literal[k] == literal:
+                        where, found = text.windows(values if literal else readings[reading][0], np.array([0, len(values)]), own)
                         keys.append(found)
                         item.append(np.full(len(found), k))
                         at.append(where)
@@ -188,13 +182,11 @@ class Matcher:
 
     def match(self, data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[object, float, bool]]]:
         """text -> [(item, share of its tokens covered, whether slots differ)] for the contaminated texts of a slab."""
-        from textloom.llm import _text as text
-
         readings, value, first = template(data, off)
         own = text.owners(first)
         hits: dict[tuple[int, int, int, int], list[int]] = {}
         for (reading, width), (key, item, at) in self.by_width.items():
-            where, found = text.windows(readings[reading][0], first, width)
+            where, found = text.windows(value if reading == 2 else readings[reading][0], first, width)
             low = np.searchsorted(key, found, "left")
             hit = np.flatnonzero(key[np.minimum(low, len(key) - 1)] == found)
             high = np.searchsorted(key, found[hit], "right")
@@ -205,10 +197,10 @@ class Matcher:
         changed: dict[tuple[int, int], bool] = {}
         for (doc, k, shift, reading), begins in hits.items():
             _, both, theirs = self.items[k]
-            kinds = both[reading][1]
+            kinds = both[reading % 2][1]
             spread = np.add.outer(np.array(begins), np.arange(self.width[k]))
             places = np.unique(spread)
-            if not consistent(kinds[places], value[places + shift], theirs[places]):
+            if reading < 2 and not consistent(kinds[places], value[places + shift], theirs[places]):
                 places = np.unique(spread[(value[spread + shift] == theirs[spread]).all(axis=1)])
             if len(places):
                 ours = value[places + shift]
@@ -219,18 +211,19 @@ class Matcher:
         for (doc, k), places in covered.items():
             share = len(places) / len(self.items[k][2])
             if share >= self.coverage:
-                out.setdefault(doc, []).append((self.items[k][0], share, changed[doc, k]))
+                out.setdefault(doc, []).extend((one, share, changed[doc, k]) for one in self.items[k][0])
         return out
 
 
-def shards(benchmark: DataFrame, shortest: int, shard_windows: int, item_col: str, text_col: str) -> Iterator[list]:
-    """The items in shards of bounded size, streamed to the driver one partition at a time."""
+def shards(benchmark: DataFrame, shard_windows: int, item_col: str, text_col: str) -> Iterator[list]:
+    """The items in shards of bounded size, streamed to the driver one partition at a time; equal texts are one item with many ids."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
     held, size = [], 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL").toLocalIterator():
+    for row in items.groupBy("t").agg(F.collect_set("i").alias("i")).toLocalIterator():
         one = read_item(row["t"])
-        if len(one[1]) >= shortest:
-            held.append((row["i"], *one))
-            size += len(one[1])
+        if len(one[1]):
+            held.append((sorted(row["i"]) or [None], *one))
+            size += len(one[1]) + len(row["i"])
         if size >= shard_windows:
             yield held
             held, size = [], 0
@@ -238,58 +231,49 @@ def shards(benchmark: DataFrame, shortest: int, shard_windows: int, item_col: st
         yield held
 
 
-def matches(docs: DataFrame, items: list, columns: list[str], width: int, coverage: float, text_col: str = "text", only_hits: bool = True) -> DataFrame:
-    """`columns` of each document that one shard contaminates (or of each document), with its items."""
+def matches(docs: DataFrame, items: list, columns: list[str], width: int, coverage: float, literal_below: int, text_col: str = "text") -> DataFrame:
+    """A row for each document: its `columns` in the struct `row`, and of the items of one shard the best covered, its coverage, whether slots differ, and their number."""
     runtime.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most shard_windows tokens
-    fields = [docs.schema[c] for c in columns]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["d_item string", "d_coverage double", "d_changed boolean", "d_items int"])
-    n_columns = len(columns)
+    named = docs.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from textloom.llm import _text as text
-
-        matcher = Matcher(shared.value, width, coverage)
+        matcher = Matcher(shared.value, width, coverage, literal_below)
         for batch in batches:
-            for row, data, off in text.slabs(batch.column(n_columns)):
-                found = matcher.match(data, off)
-                rows = sorted(found) if only_hits else range(len(off) - 1)
-                out = [(*(str(x) if i == 0 else x for i, x in enumerate(max(found[k], key=lambda x: (x[1], str(x[0]))))), len(found[k])) if k in found else (None, 0.0, None, 0) for k in rows]
-                kept = [c.slice(row, len(off) - 1).take(pa.array(list(rows), pa.int64())) for c in batch.columns[:n_columns]]
-                extra = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(kept + extra, [*columns, "d_item", "d_coverage", "d_changed", "d_items"])
+            for row, data, off in text.slabs(batch.column(1)):
+                found, n = matcher.match(data, off), len(off) - 1
+                best = [max(found[k], key=lambda x: (x[1], str(x[0]))) if k in found else (None, 0.0, None) for k in range(n)]
+                extra = [pa.array([x[i] for x in best], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), *extra, pa.array([len(found.get(k, ())) for k in range(n)], pa.int32())], ["row", "item", "coverage", "changed", "items"])
 
-    return docs.select(*columns, F.col(text_col).cast("string").alias("d_text")).mapInArrow(run, schema)
+    return named.mapInArrow(run, StructType([named.schema["row"], *StructType.fromDDL("item string, coverage double, changed boolean, items int")]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, shortest: int = 5, shard_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, literal_below: int = 5, shard_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document: (doc_id, contaminated, item_id, coverage, reparameterised, n_items); item_id is that of the best covered item."""
-    named = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = benchmark.schema[item_col].dataType
-    met = shards(benchmark, shortest, shard_windows, item_col, item_text_col)
+    met = shards(benchmark, shard_windows, item_col, item_text_col)
     held = list(itertools.islice(met, 2))
-    several = len(held) == 2
-    if several:  # a written key of each row, the same for all shards
-        named = runtime.stored(named.select("doc_id", F.col(text_col).cast("string").alias("d_text"), F.monotonically_increasing_id().alias("d_row")), "decontaminate")
-        text_col = "d_text"
-    columns = ["doc_id", "d_row"] if several else ["doc_id"]
-    parts = [matches(named, items, columns, width, coverage, text_col, False) for items in itertools.chain(held, met)]
+    columns = ["doc_id"]
+    if len(held) == 2:  # a written key of each row, the same for all shards
+        named = runtime.stored(named.withColumn("at", F.monotonically_increasing_id()), "decontaminate")
+        columns = ["doc_id", "at"]
+    parts = [matches(named, items, columns, width, coverage, literal_below) for items in itertools.chain(held, met)]
     if not parts:
         return named.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(None).cast("boolean").alias("reparameterised"), F.lit(0).alias("n_items"))
-    if len(parts) == 1:
-        rows = parts[0]
-    else:  # an input row has one row for each shard
-        rows = parts[0]
+    rows = parts[0]
+    if len(parts) > 1:  # an input row has one row for each shard
         for other in parts[1:]:
             rows = rows.unionByName(other)
-        best = F.struct("d_coverage", "d_item", "d_changed")
-        rows = rows.groupBy("d_row").agg(F.first("doc_id").alias("doc_id"), F.max(best).alias("b"), F.sum("d_items").cast("int").alias("d_items")).select("doc_id", "b.*", "d_items")
-    return rows.select("doc_id", (F.col("d_items") > 0).alias("contaminated"), F.col("d_item").cast(kind).alias("item_id"), F.col("d_coverage").alias("coverage"), F.col("d_changed").alias("reparameterised"), F.col("d_items").alias("n_items"))
+        best = F.struct("coverage", "item", "changed")
+        rows = rows.groupBy("row.at").agg(F.first("row").alias("row"), F.max(best).alias("best"), F.sum("items").cast("int").alias("items")).select("row", "best.*", "items")
+    return rows.select("row.doc_id", (F.col("items") > 0).alias("contaminated"), F.col("item").cast(kind).alias("item_id"), "coverage", F.col("changed").alias("reparameterised"), F.col("items").alias("n_items"))
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, shortest: int = 5, shard_windows: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, literal_below: int = 5, shard_windows: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that no item contaminates, with their columns; each shard filters what the one before kept."""
     columns = list(docs.columns)
-    for items in shards(benchmark, shortest, shard_windows, item_col, item_text_col):
-        docs = matches(docs, items, columns, width, coverage, text_col, False).filter("d_items = 0").select(*columns)
+    for items in shards(benchmark, shard_windows, item_col, item_text_col):
+        docs = matches(docs, items, columns, width, coverage, literal_below, text_col).filter("items = 0").select("row.*")
     return docs
