@@ -6,8 +6,9 @@ score among those with room in all three: the smallest weighted norm of what sta
 product of need and room. Text is tokenised where it is read and only piece lengths are shuffled, in groups of about
 `group_pieces`, so no task holds more than a bounded number of pieces.
 
-Null and empty texts are documents of the end id alone. Repeated rows are packed once each. An empty table gives no
-rows. Other columns of the input are ignored.
+Null and empty texts are documents of the end id alone. Null ids are kept as ids of their own rows. Repeated rows are
+packed once each and dealt to different groups. Ids of any type serve; pieces of equal length go in the order of id, nulls
+last. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -72,16 +73,16 @@ def with_ends(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: (doc_id, piece, start, length, ids_crc32)."""
+    """A row for each piece: (doc_id, piece, start, length, ids_crc32, at); at counts the texts of a task, which parts repeated rows."""
     runtime.ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, at long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textloom.llm import _text as text
         from textloom.llm import _tokens as tokens
 
-        encoder = tokens.encoder(vocabulary)
+        encoder, done = tokens.encoder(vocabulary), 0
         for batch in batches:
             for row, data, off in text.slabs(batch.column(1)):
                 ids, first = with_ends(*encoder.encode(data, off), end_id)
@@ -95,9 +96,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
                 begin = first[own] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [batch.column(0).take(pa.array(row + own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(done + own, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "at"],
                 )
+                done += len(size)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
@@ -107,7 +109,7 @@ def pack(
     vocabulary: str,
     end_id: int = 0,
     capacity: int = 2048,
-    max_documents: int = 1024,
+    max_documents: int | None = None,
     max_cost: int | None = None,
     score: str = "norm",
     weights: tuple[float, float, float] = WEIGHTS,
@@ -117,20 +119,18 @@ def pack(
 ) -> DataFrame:
     """A row for each piece with its place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    max_cost defaults to capacity squared, which a sequence of that many tokens never exceeds.
+    max_documents and max_cost default to what a full sequence of tokens never exceeds: capacity and capacity squared.
     """
-    cost = capacity * capacity if max_cost is None else max_cost
+    documents, cost = capacity if max_documents is None else max_documents, capacity * capacity if max_cost is None else max_cost
     found = runtime.stored(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
     groups = max(1, -(-found.count() // group_pieces))
-    keyed = found.withColumn("group", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, length), {groups})"))
+    keyed = found.withColumn("group", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, length, at), {groups})"))
 
     def place(table: pa.Table) -> pa.Table:
-        length = table.column("length").to_numpy()
-        order = np.lexsort((table.column("ids_crc32").to_numpy(), table.column("piece").to_numpy(), table.column("doc_id").to_pandas().to_numpy(), -length))
-        table = table.take(pa.array(order))
-        bins, offset = best_fit(length[order], capacity, max_documents, cost, score, weights)
+        table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "at"))])
+        bins, offset = best_fit(table.column("length").to_numpy(), capacity, documents, cost, score, weights)
         group = table.column("group").to_numpy()
-        return table.drop_columns(["group"]).append_column("sequence_id", pa.array((group << 32) | bins, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        return table.drop_columns(["group", "at"]).append_column("sequence_id", pa.array((group << 32) | bins, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     runtime.ship(docs.sparkSession)
     kind = found.schema["doc_id"].dataType.simpleString()
