@@ -7,7 +7,7 @@ joins the verdicts back: a document that fails a rule goes; on a rejected host i
 `strict` times its limit. Clean documents of a rejected host therefore stay.
 
 Null and empty texts have no words and fail the base rule. A null host is a host of its own. Repeated rows count and
-are returned once each. An empty table gives no rows. Extra columns are kept by `keep` and ignored elsewhere.
+are returned once each. An empty table gives no rows. Extra columns of any name are kept by `keep` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom import runtime
 
@@ -72,23 +73,23 @@ def count_texts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.diff(first), chars, symbols, dup_lines, repeated, lines]
 
 
-def base(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and COUNTS of every row."""
+def base(docs: DataFrame, columns: list[str], text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Every row: its `columns` in the struct `row`, so that their names are free, its host and COUNTS as q_*."""
     runtime.ship(docs.sparkSession)
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", {c} long" for c in (f"q_{x}" for x in COUNTS))
-    width = len(keep)
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST))
+    named = docs.select(F.struct(*columns).alias("row") if columns else F.struct(F.lit(0).alias("none")).alias("row"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*named.schema.fields[:2], *StructType.fromDDL(", ".join(f"q_{c} long" for c in COUNTS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textloom.llm import _text as text
 
         for batch in batches:
-            for row, data, off in text.slabs(batch.column(width)):
+            for row, data, off in text.slabs(batch.column(2)):
                 found = [pa.array(x, pa.int64()) for x in count_texts(data, off)]
-                kept = [batch.column(k).slice(row, len(off) - 1) for k in range(width)]
-                yield pa.RecordBatch.from_arrays(kept + found, [*keep, *(f"q_{x}" for x in COUNTS)])
+                kept = [batch.column(k).slice(row, len(off) - 1) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(kept + found, ["row", "host", *(f"q_{x}" for x in COUNTS)])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("q_text")).mapInArrow(run, schema)
+    return named.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -104,9 +105,9 @@ def fails(strict: int = 1) -> Column:
     return base_failed() | symbols | (lines & (F.col("q_n_lines") >= 5)) | length
 
 
-def hosts(counts: DataFrame, host_col: str = "source", reject_rate: float = 0.5) -> DataFrame:
+def hosts(counts: DataFrame, reject_rate: float = 0.5) -> DataFrame:
     """(host, n, failed, rate, rejected): rate is the posterior mean under the fitted beta prior."""
-    by = counts.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(fails().cast("long")).alias("failed"))
+    by = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(fails().cast("long")).alias("failed"))
     raw = F.col("failed") / F.col("n")
     prior = by.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"))
     mean, spread = F.col("mean"), F.col("mean") * (1 - F.col("mean"))
@@ -117,31 +118,25 @@ def hosts(counts: DataFrame, host_col: str = "source", reject_rate: float = 0.5)
     return shrunk.select("host", "n", "failed", "rate", (F.col("rate") >= reject_rate).alias("rejected"))
 
 
-def judged(counts: DataFrame, verdicts: DataFrame, host_col: str = "source", strict: int = 2) -> DataFrame:
+def judged(counts: DataFrame, verdicts: DataFrame, strict: int = 2) -> DataFrame:
     """The counted rows with base_failed, host_rate, host_rejected and kept."""
     few = verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    side = verdicts.select(F.col("host").alias("q_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
-    side = F.broadcast(side) if few else side
-    joined = counts.join(side, F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)) == F.col("q_host"), "left").drop("q_host")
+    side = verdicts.select("host", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
+    joined = counts.join(F.broadcast(side) if few else side, "host", "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~(fails() | (F.col("host_rejected") & fails(strict))))
 
 
-def verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Host verdicts of all documents, written once."""
-    return runtime.stored(hosts(base(docs, [host_col], text_col), host_col), "host-verdicts")
-
-
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each document with its counts and verdict."""
-    counts = runtime.stored(base(docs, [id_col, host_col], text_col), "rule-counts")
-    return judged(counts, runtime.stored(hosts(counts, host_col), "host-verdicts"), host_col)
+    """A row for each document with its counts and verdict: doc_id, host, q_* for COUNTS, base_failed, host_rate, host_rejected, kept."""
+    counts = runtime.stored(base(docs, [id_col], text_col, host_col), "rule-counts")
+    rows = judged(counts, runtime.stored(hosts(counts), "host-verdicts"))
+    return rows.select(F.col("row").getField(id_col).alias("doc_id"), *(c for c in rows.columns if c != "row"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that stay, with their columns. Texts are read twice rather than shuffled."""
-    columns = list(docs.columns)
-    counted = base(docs, columns, text_col)
-    return judged(counted, verdicts(docs, text_col, host_col), host_col).filter("kept").select(*columns)
+    verdicts = runtime.stored(hosts(base(docs, [], text_col, host_col)), "host-verdicts")
+    return judged(base(docs, list(docs.columns), text_col, host_col), verdicts).filter("kept").select("row.*")
 
 
 ORACLE_SQL = r"""
