@@ -1,15 +1,19 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another by logistic models over lexical units, which are words and beginnings of
-words; each later model also sees the probabilities of the earlier categories. A unit has two features: whether the
-text holds it, and how dense it is among the text's words. In training these are out-of-fold predictions, so a later model meets them
-as they are on unseen texts. Categories before the last are insult and contempt by default: a labelled toxic text
-counts for one if it holds a word of its seed list. The last category is the label itself.
+words; each later model also sees the probabilities of the earlier categories. In training these are out-of-fold
+predictions, so a later model meets them as they are on unseen texts. A unit has two features: whether the text holds it,
+and how dense it is among the text's words.
+
+The categories before the last are kinds of toxic texts, and are learned as well: the toxic rows' units are factorised
+(principal directions, by power iteration), and a toxic row counts for a kind if it lies on the positive side of the
+kind's direction. The last category is the label itself. No list of words is given.
 
 Words are runs of letters, folded to lower case (A-Z); the models know the units that set the classes of the bounded
-training sample apart best, found by exact 64-bit hashes. Null and empty texts have no words and the probability 0. Repeated
-rows are scored once each. Without labelled rows of both classes the probabilities are constant: the share of toxic
-rows, 0 without any. Extra columns are kept by `keep` and ignored elsewhere.
+training sample apart best, found by exact 64-bit hashes; a unit of fewer than `min_texts` texts is not looked at. Null
+and empty texts have no words and the probability 0. Repeated rows are scored once each. Without labelled rows of both
+classes the probabilities are constant: the share of toxic rows, 0 without any. Extra columns of any name are kept by
+`keep` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -21,15 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom import runtime
 from textloom.llm import _labels, _text
 
-# Seed words of the categories before the label.
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "scum", "fool", "imbecile"),
-    "contempt": ("stupid", "trash", "pathetic", "worthless", "disgusting", "garbage", "dumb"),
-}
+#: Kinds of toxic texts that are learned before the label.
+KINDS = 2
 LAST = "toxic"
 #: A document whose last probability reaches this is toxic.
 THRESHOLD = 0.3
@@ -56,11 +58,6 @@ def units(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield _text.mix(_text.span_hashes(folded, starts[longer], starts[longer] + size)), own[longer], n_words
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x.encode() for x in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int64)
-
-
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -124,55 +121,76 @@ class Chain:
         return np.hstack([counts > 0, dense]).astype(np.float32)
 
 
-def sample_units(texts: list[str], seeds: dict[str, tuple[str, ...]], min_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(units, text of each, value of each, for every category which texts hold a seed word)."""
-    seed_hashes = {}
-    for category, words in seeds.items():
-        seed_hashes[category] = next(units(*_bytes(list(words))))[0]
-    held = {c: np.zeros(len(texts), bool) for c in seeds}
+def separating_units(texts: list[str], y: np.ndarray, max_units: int, min_texts: int) -> np.ndarray:
+    """The sorted hashes of the units with the largest Welch's t between the classes. Texts are hashed anew in three passes, so that only units are held."""
+
+    def values() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for k, text in enumerate(texts):
+            found = list(units(*_text.joined([text])))
+            unit, count = np.unique(np.concatenate([h for h, _, _ in found]), return_counts=True)
+            yield k, unit, 0.25 + np.minimum(count / max(1, int(found[0][2][0])) / DENSE, 1)
+
     seen = np.zeros(SLOTS, np.int32)  # texts by slot: a unit in fewer than min_texts texts is mostly left out at once
-    for k, text in enumerate(texts):
-        found = list(units(*_bytes([text])))
-        for c, h in seed_hashes.items():
-            held[c][k] = np.isin(found[0][0], h).any()
-        seen[np.unique(np.concatenate([h for h, _, _ in found]) % np.uint64(SLOTS))] += 1
-    unit, doc, value = [], [], []
-    for k, text in enumerate(texts):
-        found = list(units(*_bytes([text])))
-        u, count = np.unique(np.concatenate([h for h, _, _ in found]), return_counts=True)
-        often = seen[u % np.uint64(SLOTS)] >= min_texts
-        u, count = u[often], count[often]
-        unit.append(u)
-        doc.append(np.full(len(u), k, np.int32))
-        value.append((0.25 + np.minimum(count / max(1, int(found[0][2][0])) / DENSE, 1)).astype(np.float32))
-    return np.concatenate(unit), np.concatenate(doc), np.concatenate(value), held
-
-
-def train(rows: list[tuple[str, int]], seeds: dict[str, tuple[str, ...]] = SEEDS, max_units: int = 400, min_share: float = 0.005, strength: float = 0.001, folds: int = 5) -> Chain:
-    """Fit the chain to (text, label) rows; units are chosen by the size of Welch's t between the classes."""
+    for _, unit, _ in values():
+        seen[np.unique(unit % np.uint64(SLOTS))] += 1
+    held, fresh, size = np.zeros(0, np.uint64), [], 0
+    for _, unit, _ in values():
+        fresh.append(unit[seen[unit % np.uint64(SLOTS)] >= min_texts])
+        size += len(fresh[-1])
+        if size > 1 << 20:
+            held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
+    held = np.unique(np.concatenate([held, *fresh]))
+    del seen
+    total, square, n_texts = (np.zeros((2, len(held))) for _ in range(3))
+    for k, unit, value in values():
+        at = np.minimum(np.searchsorted(held, unit), max(len(held) - 1, 0))
+        here = held[at] == unit if len(held) else np.zeros(len(unit), bool)
+        at, value, label = at[here], value[here], int(y[k])
+        total[label, at] += value
+        square[label, at] += value**2
+        n_texts[label, at] += 1
+    n = np.array([[(y == k).sum()] for k in (0, 1)])
+    mean = total / n
+    spread = ((square / n - mean**2) / n).sum(0) + 1e-4
+    t = np.abs(mean[1] - mean[0]) / np.sqrt(spread)
+    t[n_texts.sum(0) < min_texts] = 0
+    return np.sort(held[np.argsort(-t, kind="stable")[:max_units]])
+
+
+def kinds_of(x: np.ndarray, n: int) -> np.ndarray:
+    """(rows x n) whether each row lies on the positive side of the n principal directions of the rows; their signs make the heavier side the smaller one."""
+    rest = x - x.mean(0, keepdims=True) if len(x) else x
+    out = np.zeros((len(x), n), bool)
+    for k in range(n):
+        direction = np.ones(x.shape[1]) / np.sqrt(max(1, x.shape[1])) + np.linspace(0, 1e-3, x.shape[1])
+        for _ in range(50):
+            direction = rest.T @ (rest @ direction)
+            length = np.linalg.norm(direction)
+            if length < 1e-9:
+                return out
+            direction /= length
+        score = rest @ direction
+        if (score > 0).sum() > len(x) / 2:
+            score, direction = -score, -direction
+        out[:, k] = score > 0
+        rest = rest - np.outer(rest @ direction, direction)
+    return out
+
+
+def train(rows: list[tuple[str, int]], kinds: int = KINDS, max_units: int = 400, min_texts: int = 4, strength: float = 0.001, folds: int = 5) -> Chain:
+    """Fit the chain to (text, label) rows."""
     y = np.array([label for _, label in rows], float)
-    chain = Chain([*seeds, LAST], np.zeros(0, np.uint64), [])
-    least = max(2, int(min_share * len(rows)))
-    held = {c: np.zeros(len(rows), bool) for c in seeds}
+    chain = Chain([*(f"kind_{k + 1}" for k in range(kinds)), LAST], np.zeros(0, np.uint64), [])
     if rows and y.min() < y.max():
-        unit, doc, value, held = sample_units([text for text, _ in rows], seeds, least)
-        words, inverse = np.unique(unit, return_inverse=True)
-        spread, mean = 1e-4, []
-        for k in (0, 1):
-            inside = y[doc] == k
-            n = (y == k).sum()
-            total = np.bincount(inverse[inside], value[inside], len(words)) / n
-            square = np.bincount(inverse[inside], value[inside] ** 2, len(words)) / n
-            spread = spread + (square - total**2) / n
-            mean.append(total)
-        t = np.abs(mean[1] - mean[0]) / np.sqrt(spread)
-        t[np.bincount(inverse, minlength=len(words)) < least] = 0
-        chain.words = np.sort(words[np.argsort(-t, kind="stable")[:max_units]])
+        chain.words = separating_units([text for text, _ in rows], y, max_units, min(min_texts, max(2, len(rows) // 8)))
     # slab by slab: hashing takes many times the bytes of its texts
     found = [chain.features(data, off) for _, data, off in _text.slabs(pa.array([text for text, _ in rows], pa.large_string()))]
-    x = np.concatenate(found or [chain.features(*_bytes([]))]).astype(np.float64)
+    x = np.concatenate(found or [chain.features(*_text.joined([]))]).astype(np.float64)
+    kind = np.zeros((len(rows), kinds))
+    toxic = np.flatnonzero(y > 0)
+    kind[toxic] = kinds_of(x[toxic][:, : len(chain.words)], kinds)
     fold = np.arange(len(rows)) % folds  # rows come in hash order
-    for target in [y * held[c] for c in seeds] + [y]:
+    for target in [*kind.T, y]:
         apart = np.zeros(len(rows))
         for k in range(folds):
             inside, outside = fold != k, fold == k
@@ -190,34 +208,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
 
 def scored(docs: DataFrame, chain: Chain, columns: list[str], text_col: str = "text") -> DataFrame:
-    """`columns` and the probability of each category (t_<category>) of every row."""
+    """Every row: its `columns` in the struct `row`, so that their names are free, and the probability of each category, p_<category>."""
     runtime.ship(docs.sparkSession)
-    fields = [docs.schema[c] for c in columns]
-    names = [f"t_{c}" for c in chain.categories]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{x}` double" for x in names])
+    names = [f"p_{c}" for c in chain.categories]
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most twice max_units weights a category
-    width = len(columns)
+    named = docs.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from textloom.llm import _text as text
-
         for batch in batches:
-            for row, data, off in text.slabs(batch.column(width)):
+            for row, data, off in _text.slabs(batch.column(1)):
                 found = shared.value.probabilities(data, off)
-                kept = [c.slice(row, len(off) - 1) for c in batch.columns[:width]]
-                yield pa.RecordBatch.from_arrays(kept + [pa.array(found[:, k].astype(np.float64)) for k in range(found.shape[1])], [*columns, *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(off) - 1), *(pa.array(x.astype(np.float64)) for x in found.T)], ["row", *names])
 
-    return docs.select(*columns, F.col(text_col).cast("string").alias("t_text")).mapInArrow(run, schema)
+    return named.mapInArrow(run, StructType([named.schema["row"], *StructType.fromDDL(", ".join(f"{x} double" for x in names))]))
 
 
 def judge(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, a probability for each category, toxic) of every row."""
     rows = scored(docs, chain, [id_col], text_col)
-    probabilities = [F.col(f"t_{c}").alias(f"p_{c}") for c in chain.categories]
-    return rows.select(F.col(id_col).alias("doc_id"), *probabilities, (F.col(f"t_{chain.categories[-1]}") >= threshold).alias("toxic"))
+    probabilities = [f"p_{c}" for c in chain.categories]
+    return rows.select(F.col("row").getField(id_col).alias("doc_id"), *probabilities, (F.col(probabilities[-1]) >= threshold).alias("toxic"))
 
 
 def keep(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that are not toxic, with their columns."""
-    columns = list(docs.columns)
-    return scored(docs, chain, columns, text_col).filter(F.col(f"t_{chain.categories[-1]}") < threshold).select(*columns)
+    return scored(docs, chain, list(docs.columns), text_col).filter(F.col(f"p_{chain.categories[-1]}") < threshold).select("row.*")
