@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form: lower case, equivalent spellings unified, copyright statements dropped, punctuation
 and white space reduced to single spaces. The form does not depend on where lines break. The SHA-256 digest of the whole
-form is hash-joined to the digests of known licence texts, with and without their titles and appendices. Each line is
-looked up the same way, which finds notices within longer documents.
+form is hash-joined to the digests of known licence texts, with and without their titles and appendices. Each line of the
+length of a known form is looked up the same way, which finds notices within longer documents. The known digests are
+broadcast up to MAX_KNOWN of them, so no document is shuffled; more are joined by a shuffle.
 
 A copyright statement is a line that begins with "copyright" and a sign or year, with (c) and a year, or with a sign, or
 one that only says that all rights are reserved; at the head of the text, also other lines that begin with "copyright".
@@ -107,28 +108,28 @@ required.
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
-#: What is replaced in turn, whatever the line breaks: spellings, then statements.
+#: What is replaced in turn, whatever the line breaks: spellings, then statements; with the strings of which a text that matches holds one.
 _PROSE = r"(?![ \t]+(?:holder|owner|notice|statement|law|and|or|in|of|to|is|for|license|interest|disclaimer)s?\b)"
 _UNFILLED = r"(?![^\p{L}\n]*(?:\(c\))?[^\p{L}\n]*(?:year|yyyy))"
 _BODY = r"(?:everyone is permitted to copy|permission is hereby granted|permission to use, copy|redistribution and use in source|this software is provided 'as-is')"
 FORMS = (
-    (r"\r\n?", "\n"),
-    (r"\blicence", "license"),
-    (r"\blicensed\s+under\s+the\s+terms\s+of", "licensed under"),
-    (r"\bsub-\s*license", "sublicense"),
-    (r"\bnon-\s*infringement", "noninfringement"),
-    (r"\bnon-\s*commercial", "noncommercial"),
-    (r"&", " and "),
-    (r"https?://(www\.)?", " "),
-    (r"\bversion\s+([0-9])", "v$1"),
-    (r"\bv\.?\s?([0-9])", "v$1"),
+    (r"\r\n?", "\n", ("\r",)),
+    (r"\blicence", "license", ("licence",)),
+    (r"\blicensed\s+under\s+the\s+terms\s+of", "licensed under", ("licensed",)),
+    (r"\bsub-\s*license", "sublicense", ("sub-",)),
+    (r"\bnon-\s*infringement", "noninfringement", ("non-",)),
+    (r"\bnon-\s*commercial", "noncommercial", ("non-",)),
+    (r"&", " and ", ("&",)),
+    (r"https?://(www\.)?", " ", ("http",)),
+    (r"\bversion\s+([0-9])", "v$1", ("version",)),
+    (r"\bv\.?\s?([0-9])", "v$1", ("v",)),
     # the steward's own statement is a part of its licence's first paragraph
-    (r"\bcopyright\s+\(c\)[\s0-9,-]+free\s+software\s+foundation,?\s+inc\b\.?(?:\s*<[^>]{0,40}>)?", " "),
-    (rf"[ \t]+(?={_BODY})", "\n"),
-    (rf"\A((?:[^\p{{L}}]*[^\n]{{0,60}}\blicense\b[^\n]{{0,30}}\n)?)(?:[^\p{{L}}©]*copyright\b{_PROSE}[^\n]*){{1,20}}", "$1"),
-    (rf"(?m)^[^\p{{L}}\n©]*(?:copyright{_UNFILLED}[^\p{{L}}\n]*(?:\(c\)|©|[0-9]{{4}})|©|\(c\)[^\p{{L}}\n]*(?:copyright\b{_UNFILLED}|[0-9]{{4}}))[^\n]*$", ""),
-    (r"(?m)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", ""),
-    (r"[^\p{L}\p{N}\n]+", " "),
+    (r"\bcopyright\s+\(c\)[\s0-9,-]+free\s+software\s+foundation,?\s+inc\b\.?(?:\s*<[^>]{0,40}>)?", " ", ("foundation",)),
+    (rf"[ \t]+(?={_BODY})", "\n", ("permi", "redistribution", "this software")),
+    (rf"\A((?:[^\p{{L}}]*[^\n]{{0,60}}\blicense\b[^\n]{{0,30}}\n)?)(?:[^\p{{L}}©]*copyright\b{_PROSE}[^\n]*){{1,20}}", "$1", ("copyright",)),
+    (rf"(?m)^[^\p{{L}}\n©]*(?:copyright{_UNFILLED}[^\p{{L}}\n]*(?:\(c\)|©|[0-9]{{4}})|©|\(c\)[^\p{{L}}\n]*(?:copyright\b{_UNFILLED}|[0-9]{{4}}))[^\n]*$", "", ("copyright", "©", "(c)")),
+    (r"(?m)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", "", ("all rights",)),
+    (r"[^\p{L}\p{N}\n]+", " ", ("",)),
 )
 
 #: Title lines of whole texts, which files have or leave out.
@@ -140,17 +141,43 @@ TITLES = {
     "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
     "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
     "Apache-2.0": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/",),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",),
     "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"),
+    "CC0-1.0": ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "CC0 1.0 Universal"),
+    "Unlicense": ("The Unlicense",),
 }
 #: Where the appendix of a whole text begins.
-APPENDICES = {"Apache-2.0": "APPENDIX: How to apply", "GPL-3.0": "How to Apply These Terms"}
+APPENDICES = {"Apache-2.0": "APPENDIX: How to apply", "GPL-2.0": "How to Apply These Terms", "GPL-3.0": "How to Apply These Terms", "LGPL-2.1": "How to Apply These Terms"}
 #: A text of fewer characters is a notice and has no title.
 WHOLE = 300
+#: Digests that are broadcast; more are joined by a shuffle.
+MAX_KNOWN = 10_000
+
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
 
 
 def known_texts() -> tuple[tuple[str, str], ...]:
     """KNOWN and the long texts of the package."""
-    return KNOWN + tuple((path.stem, path.read_text()) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+    return (*KNOWN, ("Unlicense", _UNLICENSE)) + tuple((path.stem, path.read_text()) for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
 
 def variants(license_id: str, text: str) -> list[str]:
@@ -172,37 +199,48 @@ def variants(license_id: str, text: str) -> list[str]:
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form, lines kept apart; spaces may surround a line."""
-    form = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    for pattern, replacement in FORMS:
-        form = F.regexp_replace(form, pattern, replacement)
-    return form
+    """The canonical form, lines kept apart; spaces may surround a line. A pattern runs only on texts that hold what it needs."""
+    form = F.array(F.lower(F.coalesce(text.cast("string"), F.lit(""))))  # an array of one, so that each step names it once
+
+    def step(pattern: str, replacement: str, held: tuple[str, ...]):
+        def run(x: Column) -> Column:
+            found = F.contains(x, F.lit(held[0]))
+            for part in held[1:]:
+                found = found | F.contains(x, F.lit(part))
+            return F.when(found, F.regexp_replace(x, pattern, replacement)).otherwise(x)
+
+        return run
+
+    for one in FORMS:
+        form = F.transform(form, step(*one))
+    return form[0]
 
 
-def digest_of_lines(lines: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(lines, r"[ \n]+", " ")), 256)
+def whole_form(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """(license_id, digest), a row for each digest of a variant; of known_texts() by default."""
+    """(license_id, digest, size), a row for each digest of a variant; of known_texts() by default. size: characters of its form."""
     rows = [(k, x) for k, text in (known_texts() if known is None else known) for x in variants(k, text)]
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.select("license_id", digest_of_lines(canonical_lines(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    table = spark.createDataFrame(rows, "license_id string, text string").select("license_id", whole_form(canonical_lines(F.col("text"))).alias("form"))
+    return table.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("form")).alias("size"))
 
 
 def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license_id, notices): the licence that the whole text is, and those of its lines, sorted and joined by commas."""
-    digests = known_digests(docs.sparkSession, known)
-    # some entries for each known text, so its size is that of the argument
-    lookup = F.map_from_entries(F.array(*(F.struct(F.lit(r["digest"]), F.lit(r["license_id"])) for r in digests.collect()))) if known is None or known else None
+    spark = docs.sparkSession
+    digests = known_digests(spark, known)
+    found = digests.collect()  # some digests for each known text, so their size is that of the argument
+    table = spark.createDataFrame([(r["digest"], r["license_id"]) for r in found], "digest string, license_id string")
+    few = len(found) <= MAX_KNOWN
     forms = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    if lookup is None:
-        notices = F.lit("")
-    else:
-        found = F.transform(F.split("lines", "\n"), lambda x: F.try_element_at(lookup, F.sha2(F.trim(x), 256)))
-        notices = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
-    marked = forms.select("doc_id", digest_of_lines(F.col("lines")).alias("digest"), notices.alias("notices"))
-    return marked.join(digests, "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    sizes = sorted({r["size"] for r in found})
+    lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes)) if sizes else F.array().cast("array<string>")
+    lookup = F.map_from_entries(F.array(*(F.struct(F.lit(r["digest"]), F.lit(r["license_id"])) for r in found))) if found else F.create_map().cast("map<string,string>")
+    notices = F.array_compact(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(x, 256))))
+    marked = forms.select("doc_id", F.sha2(whole_form(F.col("lines")), 256).alias("digest"), F.array_join(F.array_sort(F.array_distinct(notices)), ",").alias("notices"))
+    return marked.join(F.broadcast(table) if few else table, "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def _sql_form(text: str) -> str:
