@@ -407,10 +407,22 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, blo
 
 
 def keep(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns; all without a set and all with a null id."""
-    columns = list(docs.columns)
-    found = join(docs, n, percent, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*columns)
-    # rows that repeat an id: one of them stays
-    return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    """One document of each component, the one with the smallest id, with its columns; all without a set and all with a null id.
+
+    Of the rows that repeat an id the one with the least hash stays. Texts are not shuffled while the ids that go or repeat
+    are at most MAX_BROADCAST.
+    """
+    found = runtime.stored(join(docs, n, percent, id_col, text_col).select(F.col("doc_id").alias(id_col), "component_id"), "components")
+    known = found.filter(F.col(id_col).isNotNull())
+    gone = known.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    again = known.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(id_col).join(gone, id_col, "left_anti")
+    gone, again = runtime.stored(gone, "gone"), runtime.stored(again, "again")
+    n_gone, n_again = gone.count(), again.count()
+    kept = docs.join(F.broadcast(gone) if n_gone <= MAX_BROADCAST else gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if not n_again:
+        return kept
+    side = F.broadcast(again) if n_again <= MAX_BROADCAST else again
+    rows = kept.join(side, id_col, "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    order = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    first = rows.groupBy(F.col("row").getField(id_col).alias("key")).agg(F.min_by("row", order).alias("row")).select("row.*")
+    return kept.join(side, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(first)
