@@ -54,6 +54,72 @@ def test_classifier_sees_every_byte_and_any_split():
     assert not np.allclose(alone[0], net.pooled(*_slab("x" * 300_000))[0])
 
 
+def direct_score(net, text):
+    """The network by its definition, chunk by chunk."""
+    raw = (text or "").encode()
+    blocks, width = len(net.filters), net.embed.shape[1]
+    n_blocks = max(1, -(-len(raw) // quality_classifier.STEP))
+    padded = raw + bytes((n_blocks + max(blocks - 1, quality_classifier.GAP)) * quality_classifier.STEP - len(raw))
+    marks = []
+    for k, byte in enumerate(padded):
+        four = padded[k - 3 : k + 1] if k >= 3 else None
+        again = byte > 0 and four is not None and any(padded[k - 3 - lag : k + 1 - lag] == four for lag in range(1, quality_classifier.REACH + 1) if k - 3 - lag >= 0)
+        marks.append(byte + 256 * again)
+    best = np.zeros(len(net.bias))
+    for b in range(len(padded) // quality_classifier.STEP - blocks + 1):
+        got = net.bias.astype(float)
+        for j in range(blocks):
+            for s in range(quality_classifier.STEP):
+                got = got + net.embed[marks[(b + j) * quality_classifier.STEP + s]].astype(float) @ net.filters[j][s * width : (s + 1) * width].astype(float)
+        best = np.maximum(best, got)
+    return 1 / (1 + np.exp(-(best @ net.out.astype(float) + net.out_bias)))
+
+
+def test_classifier_against_direct_convolution(spark, odd):
+    net = quality_classifier.train([("aaaa bbbb cc dd", 1), ("#### $$$$ x#x#x#x#", 0), ("some words of text", 1), ("1234 1234 1234", 0)] * 10, epochs=3)
+    texts = ["", "a", "#### a #### b ####", "words " * 20, "Ünï日本 " * 5, "one two three four " * 4, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, net).collect()}
+    assert all(abs(got[k] - direct_score(net, x)) < 1e-4 for k, x in enumerate(texts))
+
+
+def ranks(scores):
+    order = np.argsort(scores)
+    out = np.empty(len(scores))
+    out[order] = np.arange(len(scores))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r for r in registry.table(spark, sf, "labels").collect()}
+    rows = [r for r in registry.op1_quality_classifier(spark, sf).collect() if r["held_out"] and labels.get(r["doc_id"]) and labels[r["doc_id"]]["quality"] is not None]
+    y, place = np.array([labels[r["doc_id"]]["quality"] for r in rows]), ranks(np.array([r["score"] for r in rows]))
+    ones = y == 1
+    assert (place[ones].sum() - ones.sum() * (ones.sum() - 1) / 2) / (ones.sum() * (~ones).sum()) > 0.9  # the area under the curve
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r for r in registry.table(spark, sf, "labels").collect()}
+    docs = registry.table(spark, sf, "documents")
+    held = lambda x: F.crc32(F.col(x).cast("string")) % 5 == 0
+    chain = toxicity.fit(docs, registry.table(spark, sf, "labels"), allowed=~held("s_id"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.judge(docs.filter(held("doc_id")), chain).collect()}
+    toxic = [got[k] for k in got if k in labels and labels[k]["toxic"] == 1]
+    clean = [got[k] for k in got if k in labels and labels[k]["toxic"] == 0]
+    assert len(toxic) >= 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+def test_samples_do_not_depend_on_the_partitioning(spark):
+    from textloom.llm import _labels
+
+    docs = spark.createDataFrame([(k % 20, f"text {k}") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    one, two = (_labels.sample(x, labels, "quality", 10, 1 << 20) for x in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert one == two and len(one) == 10
+
+
 def test_classifier_without_two_classes(spark, none):
     assert quality_classifier.train([]).score(*_slab("x"))[0] == 1.0
     assert quality_classifier.train([("a", 0)]).score(*_slab("x"))[0] == 0.0
@@ -143,7 +209,51 @@ def test_near_copies_without_an_id_link_documents(spark):
     assert got == brute_components(rows) and got[(2, 196, 1)] == 1
 
 
+def test_many_near_copies_stay_linear(spark):
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            w[at] = f"e{rng.integers(100_000)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_components(ngram_join.join(docs)) == brute_components(rows)
+
+
+def test_repeated_ids_keep_one_row(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other words than those of one", "z"), (None, "a", "n"), (None, "a", "n")]
+    kept = [sorted(map(str, (tuple(r) for r in ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(n)).collect()))) for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 4
+
+
 # ---- 3
+def test_empty_documents_fill_sequences(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    assert packing.pack(docs, registry.vocabulary()).select("sequence_id").distinct().count() == 2
+
+
+def test_string_ids_with_nulls(spark):
+    rows = [("a", "some text of a few words here", "s"), ("b", None, None), (None, "a text without an id", "s"), (None, None, "s"), ("a", "some text of a few words here", "s")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    benchmark = spark.createDataFrame([("q", "some other item of words")], "item_id string, text string")
+    assert packing.pack(docs, registry.vocabulary(), capacity=4).agg(F.countDistinct("sequence_id").alias("n")).first()["n"] > 1
+    assert ngram_join.join(docs).count() == quality_rules.judge(docs).count() == decontaminate.find(docs, benchmark).count() == licenses.scan(docs).count() == 5
+    assert toxicity.judge(docs, toxicity.train([])).count() == quality_classifier.score(docs, quality_classifier.train([])).count() == 5
+    assert packing.pack(docs, registry.vocabulary()).count() == 5 and ngram_join.keep(docs).count() == 4
+    folder = runtime.fresh_dir(spark, "tokens")
+    token_files.write(docs, folder, registry.vocabulary())
+    assert token_files.read(spark, folder, "string").count() == 5
+
+
+def test_columns_of_any_name_are_kept(spark, odd):
+    benchmark = registry.table(spark, "/root/testdata/sf0.001", "benchmark")
+    for kept in (quality_rules.keep(odd), toxicity.keep(odd, toxicity.train([])), decontaminate.keep(odd, benchmark), ngram_join.keep(odd)):
+        assert kept.schema == odd.schema
+        rest = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source")]
+        assert kept.select(*(f"`{c}`" for c in rest)).distinct().collect() == odd.select(*(f"`{c}`" for c in rest)).distinct().collect()
+
+
 def test_packing(odd, none):
     got = packing.pack(odd, registry.vocabulary(), capacity=64).collect()
     by = collections.defaultdict(list)
@@ -219,7 +329,7 @@ def rewrapped(text, width):
 def test_licences_in_any_wrapping(spark):
     heads = {"MIT": "MIT License\n\nCopyright (c) 2020-2024 Some One", "ISC": "ISC License\n\nCopyright 2019, Some One <a@b.org>", "Zlib": "zlib License\n\n(C) 2019 Some One", "0BSD": "Copyright Some One", "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright (c) Some Inc.\nAll rights reserved.", "BSD-3-Clause": "Copyright \u00a9 2021 A\nCopyright (c) 2022 B"}
     whole = [(k, x) for k, x in licenses.known_texts() if len(x) > 300]
-    assert sorted(k for k, _ in whole) == ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "ISC", "MIT", "Zlib"]
+    assert sorted(k for k, _ in whole) == ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
     texts = [(k, head + y) for k, x in whole for head in ("", heads.get(k, "") + "\n\n") for y in (x, " ".join(x.split()), *(rewrapped(x, w) for w in (60, 66, 72, 78, 80, 95, 120)))]
     apache = next(x for k, x in whole if k == "Apache-2.0")
     gpl = next(x for k, x in whole if k == "GPL-3.0")
@@ -244,7 +354,7 @@ def brute_counts(text):
 def test_rule_counts(spark, odd, none):
     texts = ["a b c d e a b c d e", "x\nx\n\n x\nx ", "é# é#\n|", "a a a a a a a", "l1\nl1\r\nl1", *(r["text"] for r in odd.collect())]
     docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
-    got = {r["doc_id"]: tuple(r[f"q_{c}"] for c in quality_rules.COUNTS) for r in quality_rules.base(docs, ["doc_id"]).collect()}
+    got = {r["row"]["doc_id"]: tuple(r[f"q_{c}"] for c in quality_rules.COUNTS) for r in quality_rules.base(docs, ["doc_id"]).collect()}
     assert got == {k: brute_counts(t) for k, t in enumerate(texts)}
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
 
@@ -289,6 +399,72 @@ def test_names_that_open_sentences_and_glued_units(spark):
     assert got[0] == (1, True) and got[1] == (2, True) and got[2] == (2, False) and got[3] == (1, False) and got[5] == got[6] == (None, None)
 
 
+def test_short_items_must_occur_word_for_word(spark):
+    items = [(1, "Quokka"), (2, "seven zebras"), (3, "What is two plus?"), (4, "5 kg"), (5, "?!")]
+    rows = [(1, "I saw a quokka today"), (2, "there were Seven zebras."), (3, "so what is two plus three"), (4, "it weighs 5 kg now"), (5, "it weighs 6 kg now"), (6, "what is three plus two ?!")]
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: None, 6: None}
+
+
+def template_of(text, second):
+    """(template, value) of each token by the module's rules, for texts without glued units, ordinals and accents."""
+    out, opens, before = [], True, None
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        raw, word = m[0], m[0].strip("\"'`.,;:!?()[]{}<>*_#|&~-")
+        if word:
+            low = word.lower()
+            number = bool(re.search("[0-9]", word)) and not re.search("[A-Za-z]", word)
+            name = bool(re.match("[A-Z]", word) and re.search("[a-z]", word)) and (not opens or second and low not in decontaminate.OPENERS)
+            kind = "N" if number else "U" if before and low in decontaminate.UNITS else "P" if name else None
+            out.append((kind, low))
+        before = bool(word) and bool(re.search("[0-9]", word)) and not re.search("[A-Za-z]", word)
+        opens = raw[-1] in ".!?" or text[m.end() : m.end() + 1] == "\n"
+    return out
+
+
+def brute_contaminated(doc, item, width=8, coverage=0.5):
+    covered = set()
+    total = len(template_of(item, False))
+    for second in (False, True):
+        a, b = template_of(doc, second), template_of(item, second)
+        shape = lambda x: [v if total < 5 else k or v for k, v in x]
+        w = min(width, total)
+        for shift in range(-len(b), len(a) + 1):
+            begins = [q for q in range(total - w + 1) if 0 <= q + shift <= len(a) - w and shape(a[q + shift : q + shift + w]) == shape(b[q : q + w])]
+            places = {q + j for q in begins for j in range(w)}
+            seen = {}
+            same = all(seen.setdefault(b[p], a[p + shift][1]) == a[p + shift][1] for p in sorted(places) if b[p][0])
+            if total >= 5 and not same:
+                places = {q + j for q in begins if all(a[q + shift + i][1] == b[q + i][1] for i in range(w)) for j in range(w)}
+            covered |= places
+    return total > 0 and len(covered) >= coverage * total
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words, names = "the man buys red apples and sells pens to his old friend at noon while it rains over town".split(), ["Alice", "Bob", "Cleo", "Dan"]
+
+    def sentence():
+        pool = [*words, *names, "3", "17", "kg", "km", "2.5"]
+        return " ".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(3, 16))) + "."
+
+    items = [(k, " ".join(sentence() for _ in range(rng.integers(1, 4)))) for k in range(25)]
+    rows = []
+    for k in range(150):
+        text = [sentence() for _ in range(3)]
+        for _ in range(rng.integers(0, 3)):
+            item = items[rng.integers(len(items))][1].split()
+            a, b = sorted(rng.integers(0, len(item) + 1, 2))
+            item = item[a:b] if rng.random() < 0.5 else item
+            if rng.random() < 0.5:
+                item = [{"Alice": "Zoe", "Bob": "Yann", "3": "4", "17": "18"}.get(x, x) for x in item]
+            text.insert(1, " ".join(item))
+        rows.append((k, " ".join(text)))
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k: sum(brute_contaminated(t, item) for _, item in items) for k, t in rows}
+    assert {k: n for k, (_, n) in got.items()} == want and all(hit == (n > 0) for hit, n in got.values()) and 20 < sum(n > 0 for n in want.values()) < 150
+
+
 def test_shards_give_the_same_result(spark, sf):
     docs, benchmark = registry.table(spark, sf, "documents"), registry.table(spark, sf, "benchmark")
     one = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.find(docs, benchmark).collect()}
@@ -340,16 +516,40 @@ def test_chain(spark, odd, none):
     toxic = [(f"the {a} {b} was such a {w} here and went {k}", 1) for k in range(5) for a in ("red", "old") for b in ("cat", "dog") for w in ("moron", "worthless")]
     rows = [x for pair in zip(clean, toxic, strict=True) for x in pair]
     chain = toxicity.train(rows)
-    assert chain.categories == ["insult", "contempt", "toxic"]
+    assert chain.categories == ["kind_1", "kind_2", "toxic"]
     assert [len(w) for w in chain.weights] == [2 * len(chain.words) + k + 1 for k in range(3)]
-    docs = spark.createDataFrame([(1, "the old man was such a moron here", 9), (2, "the old man was such a friend here", 9), (3, None, 9)], "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([(1, "the old man was such a moron here", 9), (2, "the old man was such a friend here", 9), (3, None, 9), (4, "the old cat was worthless", 9)], "doc_id long, text string, toxic int")
     got = {r["doc_id"]: r for r in toxicity.judge(docs, chain).collect()}
-    assert got[1]["toxic"] and not got[2]["toxic"] and not got[3]["toxic"] and got[1]["p_insult"] > got[1]["p_contempt"]
+    assert got[1]["toxic"] and got[4]["toxic"] and not got[2]["toxic"] and not got[3]["toxic"] and (got[1]["p_kind_1"] > 0.5) != (got[4]["p_kind_1"] > 0.5)
     assert [r["doc_id"] for r in toxicity.keep(docs, chain).orderBy("doc_id").collect()] == [2, 3]
     assert toxicity.judge(odd, chain).count() == odd.count() and toxicity.judge(none, chain).count() == 0
     assert not toxicity.judge(odd, toxicity.train([])).filter("toxic").count()
 
 
+def test_chain_against_direct_features(spark):
+    from textloom.llm import _text
+
+    rows = [(f"some {a} words of {b} kind {k}", int(a in ("nasty", "vile"))) for k in range(8) for a in ("nasty", "vile", "decent", "lovely") for b in ("every", "another")]
+    chain = toxicity.train(rows)
+    texts = ["nasty nasty things", "", "decent VILE-vile anotherness", "Ünï nastyness 12", None, "lovely"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [r[f"p_{c}"] for c in chain.categories] for r in toxicity.judge(docs, chain).collect()}
+    name = lambda x: int(_text.span_hashes(*(lambda d: (d[0], d[1][:-1], d[1][1:]))(_text.joined([x])))[0])
+    short = lambda x: int(_text.mix(np.array([name(x)], np.uint64))[0])
+    for k, text in enumerate(texts):
+        words = [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text or "")]
+        units = collections.Counter(name(w) for w in words)
+        for size in toxicity.PREFIXES:
+            units.update(short(w[:size]) for w in words if w.isascii() and len(w) > size)
+        x = [float(units[int(u)] > 0) for u in chain.words] + [min(units[int(u)] / max(1, len(words)) / toxicity.DENSE, 2) for u in chain.words]
+        for w, p in zip(chain.weights, got[k], strict=True):
+            x.append(1 / (1 + np.exp(-(np.dot(x, w[:-1]) + w[-1]))) if words else 0)
+            if words:
+                assert abs(x[-1] - p) < 1e-4
+            else:
+                assert p == 0
+
+
 # ---- 10
 def test_archives(spark):
     long, short = "<p>é</p>" * 200, "<p>short</p>"

@@ -129,7 +129,7 @@ def open_sequences(path: str):
 
 
 def sequence_at(reader, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, valid) of sequence k; the ids are a view of the mapped file."""
+    """(ids, valid) of sequence k; the ids are a view of the mapped file, and the mask is expanded from a view of its bits."""
     size = reader.get_batch(0).num_rows
     got = reader.get_batch(k // size)
     length = got.schema.field("ids").type.list_size
