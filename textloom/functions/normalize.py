@@ -2,7 +2,10 @@
 
 A rule is an ordered list of (pattern, replacement) pairs whose syntax Java and RE2 share, so the same table makes the
 Spark column and the SQL of other engines. Rules with look-ahead (affixes) have a Java form only. NFC is the one rule
-without a built-in and runs as an Arrow UDF.
+without a built-in and runs as an Arrow UDF, which gets only the texts that hold a character from U+0300 on.
+
+A chain of rules is planned before it becomes a column: neighbouring deletions are one pattern, neighbouring maps one
+translation, and a text of ASCII alone takes only the rules that can touch it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Unicode classes and character maps of the rules.
+# Unicode classes, character maps and affixes of the rules, their names, and the profiles.
 SPACE = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ARABIC_DIGITS = "".join(chr(0x0660 + k) for k in range(10)) + "".join(chr(0x06F0 + k) for k in range(10))
 MAPS = {
@@ -66,11 +69,22 @@ PROFILES["L7.affix"] = (*PROFILES["L5.codepoints"], "N18", "N19", "N20", "N21")
 PROFILES["L8.fuzzy"] = PROFILES["L5.codepoints"]
 
 
+#: Rules that leave texts of ASCII alone as they are.
+BEYOND_ASCII = frozenset(("N02", "N03", "N04", "N05", "N06", "N07", "N08", "N09", "N10", "N11", "N13", "N14", "N15", "N16", "N18", "N19", "N20", "N21"))
+_DELETIONS = frozenset(("N02", "N03", "N04", "N05", "N11", "N12", "N14", "N17"))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def _nfc(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+        return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
-    return F.pandas_udf(run, StringType())(text)
+    # Python gets null where nothing below U+0300 can change
+    asked = F.when(~is_ascii(text) & text.rlike(r"[^\x{00}-\x{2FF}]"), text)
+    return F.coalesce(F.pandas_udf(run, StringType())(asked), text)
 
 
 def rule(rule_id: str, text: Column) -> Column:
@@ -84,12 +98,50 @@ def rule(rule_id: str, text: Column) -> Column:
     return text
 
 
-def pipeline(rule_ids: tuple[str, ...] | list[str], text: Column) -> Column:
+def composed(rule_ids: list[str]) -> tuple[str, str]:
+    """Maps in turn as one (from, to) translation; what has no counterpart is deleted."""
+    table: dict[str, str] = {}
     for one in rule_ids:
-        text = rule(one, text)
+        a, b = MAPS[one]
+        step = {x: b[k] if k < len(b) else "" for k, x in enumerate(a)}
+        table = {x: step.get(y, y) for x, y in table.items()} | {x: y for x, y in step.items() if x not in table}
+    kept = [x for x in table if table[x]]
+    return "".join(kept) + "".join(x for x in table if not table[x]), "".join(table[x] for x in kept)
+
+
+def _chain(rule_ids: list[str], text: Column) -> Column:
+    at = 0
+    while at < len(rule_ids):
+        family = _DELETIONS if rule_ids[at] in _DELETIONS else MAPS if rule_ids[at] in MAPS else ()
+        upto = at + 1
+        while upto < len(rule_ids) and rule_ids[upto] in family:
+            upto += 1
+        some = rule_ids[at:upto]
+        if upto == at + 1:
+            text = rule(some[0], text)
+        elif family is _DELETIONS:
+            inner = "".join(pattern.strip("[]") if pattern[0] == "[" else pattern for one in some for pattern, _ in PATTERNS[one])
+            text = F.regexp_replace(text, f"[{inner}]", "")
+        else:
+            text = F.translate(text, *composed(some))
+        at = upto
     return text
 
 
+def pipeline(rule_ids: tuple[str, ...] | list[str], text: Column) -> Column:
+    """The rules in turn. White space of ASCII needs no Unicode class, and most rules cannot touch a text of ASCII alone."""
+    rule_ids = list(rule_ids)
+    if not BEYOND_ASCII.intersection(rule_ids):
+        return _chain(rule_ids, text)
+    short = text
+    for one in rule_ids:
+        if one == "N01":
+            short = F.trim(F.regexp_replace(short, r"[\x{09}-\x{0D} ]+", " "))
+        elif one not in BEYOND_ASCII:
+            short = rule(one, short)
+    return F.when(is_ascii(text), short).otherwise(_chain(rule_ids, text))
+
+
 def profile(name: str, text: Column) -> Column:
     """A registered profile applied to a string column."""
     return pipeline(REGISTRY.get(name), text)
@@ -104,6 +156,15 @@ def explain(rule_ids: tuple[str, ...] | list[str], text: Column) -> Column:
     return F.array(*steps)
 
 
+def rules_of(profile: str | list[str] | tuple[str, ...]) -> tuple[str, ...]:
+    """The rules of a registered profile, or ad-hoc rules as they are."""
+    if isinstance(profile, str):
+        return REGISTRY.get(profile)
+    if unknown := [x for x in profile if x not in NAMES]:
+        raise ValueError(f"unknown rules {unknown}")
+    return tuple(profile)
+
+
 def adhoc_label(rule_ids: tuple[str, ...] | list[str]) -> str:
     return "adhoc:" + hashlib.sha256(",".join(rule_ids).encode()).hexdigest()[:12]
 
@@ -126,6 +187,13 @@ class ProfileRegistry:
         if self._known.setdefault(name, tuple(rule_ids)) != tuple(rule_ids):
             raise ValueError(f"profile {name} is registered with other rules")
 
+    def latest(self, prefix: str) -> str:
+        """The last registered name that begins so."""
+        found = [x for x in self._known if x.startswith(prefix)]
+        if not found:
+            raise KeyError(f"unknown profile {prefix}")
+        return found[-1]
+
     def names(self) -> list[str]:
         return sorted(self._known)
 

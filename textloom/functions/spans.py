@@ -92,6 +92,37 @@ def to_canonical(mapped: Column, start: Column, end: Column) -> Column:
     return F.when(high > low, F.struct(F.array_min(part).alias("start"), (F.array_max(part) + 1).alias("end"), ((low == start) & (high == end)).alias("exact")))
 
 
+def to_derived(mapped: Column, start: Column, end: Column) -> Column:
+    """struct<start, end>: the hull in the derived text of what [start, end) of the source became; null where nothing is left of it."""
+    inside = F.filter(F.transform(mapped["forward"], lambda x, i: F.when((x >= start) & (x < end), i)), lambda x: x.isNotNull())
+    return F.when(F.size(inside) > 0, F.struct(F.array_min(inside).alias("start"), (F.array_max(inside) + 1).alias("end")))
+
+
+def compose(first: Column, second: Column) -> Column:
+    """struct<text, forward>: the map of the second step after the first, back to the first one's source."""
+    places = F.transform(second["forward"], lambda i: F.get(first["forward"], i))
+    return F.struct(second["text"].alias("text"), places.alias("forward"))
+
+
+def identity(text: Column) -> Column:
+    """struct<text, forward> of a text that stays as it is."""
+    return F.struct(text.alias("text"), F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>")).alias("forward"))
+
+
+def span_segments(mapped: Column) -> Column:
+    """array<struct<derived_start, derived_end, canonical_start>>: maximal runs in which both sides go on by one."""
+    kind = "array<struct<derived_start:int,derived_end:int,canonical_start:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc["out"], -1)
+        goes_on = (F.size(acc["out"]) > 0) & (x == last["canonical_start"] + acc["i"] - last["derived_start"])
+        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["derived_start"].alias("derived_start"), (acc["i"] + 1).alias("derived_end"), last["canonical_start"].alias("canonical_start"))))
+        fresh = F.concat(acc["out"], F.array(F.struct(acc["i"].alias("derived_start"), (acc["i"] + 1).alias("derived_end"), x.alias("canonical_start"))))
+        return F.struct((acc["i"] + 1).alias("i"), F.when(goes_on, longer).otherwise(fresh).cast(kind).alias("out"))
+
+    return F.aggregate(mapped["forward"], F.struct(F.lit(0).alias("i"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+
 def highlight(text: Column, ranges: Column, opening: str = "<mark>", closing: str = "</mark>") -> Column:
     """Markers around sorted, disjoint [start, end) character ranges; null where ranges are unsorted, overlap or leave the text."""
     step = F.aggregate(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,8 +89,17 @@ def confidence_band(value: Column) -> Column:
 
 
 def snippet(text: Column, size: int = 100) -> Column:
-    """The first `size` characters, with dots where more follow."""
-    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+    """The longest beginning of at most `size` bytes that does not cut a character, with dots where more follows."""
+    head = F.substring(text, 1, size)  # at least all that fits
+    # characters until the bytes are used up
+    fits = F.aggregate(
+        F.split(head, ""),
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("bytes")),
+        lambda acc, x: F.struct(F.when(acc["bytes"] + F.octet_length(x) <= size, F.concat(acc["out"], x)).otherwise(acc["out"]).alias("out"), (acc["bytes"] + F.octet_length(x)).alias("bytes")),
+        lambda acc: acc["out"],
+    )
+    cut = F.when(F.octet_length(head) == F.length(head), head).otherwise(fits)
+    return F.when(F.octet_length(text) > size, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def log_term(observed: Column, expected: Column) -> Column:
@@ -151,20 +161,98 @@ def first_unexpected(text: Column, allowed: str = r"\x{20}\x{600}-\x{6FF}\x{750}
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
+    """FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits; the texts of a batch advance byte by byte together."""
     def run(texts: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            h = 0xCBF29CE484222325
-            for b in x.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
-
-        return texts.map(one)
+        raw = [b"" if x is None else x.encode() for x in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(-size, kind="stable")
+        data, first = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+        h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+        left = len(raw)
+        for k in range(int(size.max(initial=0))):
+            left = int(np.searchsorted(-size[order[:left]], -k))  # texts longer than k
+            some = order[:left]
+            h[some] = (h[some] ^ data[first[some] + k]) * np.uint64(0x100000001B3)
+        return pd.Series([None if x is None else f"{v:016x}" for x, v in zip(texts, h.tolist(), strict=True)], dtype=object)
 
     return F.pandas_udf(run, StringType())(text)
 
 
 def cache_key(generation: Column, request: Column) -> Column:
     return F.concat_ws(":", F.lit("v1"), generation.cast("string"), F.sha2(request, 256))
+
+
+def graphemes(text: Column) -> Column:
+    """The extended grapheme clusters of a text: a base with its marks, joined and regional pairs, line ends."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), 1)
+
+
+def grapheme_to_char(text: Column, at: Column) -> Column:
+    """The index of the character at which a cluster begins; past the end, the length."""
+    return F.aggregate(F.slice(graphemes(text), F.lit(1), at), F.lit(0), lambda acc, x: acc + F.length(x))
+
+
+#: Fixed value: annotation signs, which end or stand beside words.
+PAUSE_MARKS = r"\x{06D6}-\x{06ED}"
+_BLANK = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def lossless_tokens(text: Column) -> Column:
+    """array<struct<position, surface, char_start, char_end, byte_start, byte_end, is_pause_mark, separator>>.
+
+    A word takes the pause marks that follow it; marks without a word before them are a token. Characters are counted in
+    grapheme clusters; separator is the white space before the token. Text after the last token is trailing_separator.
+    """
+    mark, word = f"[{PAUSE_MARKS}]", f"[^{PAUSE_MARKS}{_BLANK}]"
+    pieces = F.regexp_extract_all(text, F.lit(rf"([{_BLANK}]*(?:{word}(?:{word}|{mark})*|{mark}+))"), 1)
+    kind = "array<struct<position:int,surface:string,char_start:int,char_end:int,byte_start:int,byte_end:int,is_pause_mark:boolean,separator:string>>"
+    start = F.struct(F.lit(0).alias("bytes"), F.lit("").alias("seen"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        gap = F.regexp_extract(piece, rf"^[{_BLANK}]*", 0)
+        surface = F.substr(piece, F.length(gap) + 1)
+        before = F.concat(acc["seen"], gap)
+        begin = acc["bytes"] + F.octet_length(gap)
+        # a mark at a token's head may join the cluster before it, so clusters are counted in what has been read
+        whole, lead = F.concat(before, surface), F.concat(before, F.substring(surface, 1, 1))
+        one = F.struct(
+            (F.size(acc["out"]) + 1).alias("position"), surface.alias("surface"), (F.size(graphemes(lead)) - 1).alias("char_start"), F.size(graphemes(whole)).alias("char_end"),
+            begin.alias("byte_start"), (begin + F.octet_length(surface)).alias("byte_end"), surface.rlike(f"^{mark}").alias("is_pause_mark"), gap.alias("separator"),
+        )
+        return F.struct((begin + F.octet_length(surface)).alias("bytes"), whole.alias("seen"), F.concat(acc["out"], F.array(one)).cast(kind).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def trailing_separator(text: Column) -> Column:
+    return F.regexp_extract(text, rf"[{_BLANK}]*\z", 0)
+
+
+def byte_range(text: Column, start: Column, end: Column) -> Column:
+    """struct<start, end> in bytes of a character range."""
+    return F.struct(F.octet_length(F.substr(text, F.lit(1), start)).alias("start"), F.octet_length(F.substr(text, F.lit(1), end)).alias("end"))
+
+
+def json_feature(features: Column, names: tuple[str, ...] = ("pattern", "verb_form", "morphological_pattern")) -> Column:
+    """map<string, string> of the named features of a JSON object that are not blank, trimmed."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.trim(F.get_json_object(features, f"$.{n}")).alias("value")) for n in names))
+    return F.map_from_entries(F.filter(pairs, lambda x: F.coalesce(x["value"], F.lit("")) != ""))
+
+
+def route_checksum(router: Column, query: Column, ids: Column) -> Column:
+    """SHA-256 of a routing decision: the router, the query and the chosen ids in order."""
+    return F.sha2(F.concat(router, query, F.array_join(ids, "")), 256)
+
+
+def age_days(now: Column, then: Column) -> Column:
+    """Days and their fraction between two timestamps."""
+    return (F.unix_micros(now) - F.unix_micros(then)) / F.lit(86_400_000_000.0)
+
+
+def host_allowed(url: Column, allowed: list[str]) -> Column:
+    """Whether a URL's host is listed or below a listed one, and no private address."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+    listed = F.lit(False)
+    for one in allowed:
+        listed = listed | (host == one.lower()) | F.endswith(host, F.lit("." + one.lower()))
+    return listed & ~private_ip(F.regexp_replace(host, r"[\[\]]", ""))

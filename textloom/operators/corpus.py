@@ -42,20 +42,46 @@ def domain_search(texts: DataFrame, parents: DataFrame, parent_key: str, query:
 
 
 def text_hash(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """(group, hash): SHA-256 over the texts in order, each after its length in bytes as eight little-endian bytes."""
+    """(group, hash): SHA-256 over the texts in order, each after its length in bytes as eight little-endian bytes.
 
-    def run(texts: pd.Series) -> pd.Series:
-        def one(parts) -> str:
-            digest = hashlib.sha256()
-            for part in parts:
-                raw = part.encode()
-                digest.update(struct.pack("<Q", len(raw)) + raw)
-            return digest.hexdigest()
+    A hash over a sequence needs the sequence in one place: a group is an edition or a chapter, which fits a task.
+    """
+    size = lambda x: F.lpad(F.hex(F.octet_length(x).cast("long")), 16, "0")
+    little = lambda x: F.concat(*(F.substring(size(x), 15 - 2 * k, 2) for k in range(8)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda x: F.concat(little(x["t"]), F.hex(F.encode(x["t"], "UTF-8"))))
+    return rows.groupBy(group).agg(F.sha2(F.unhex(F.array_join(parts, "")), 256).alias("hash"))
+
+
+def token_order_hash(tokens: DataFrame, group: str, order: list[str], surface: str) -> DataFrame:
+    """(group, hash): SHA-256 over the surfaces of all tokens of a group in order, length-prefixed as in text_hash."""
+    return text_hash(tokens.select(group, F.struct(*order).alias("place"), surface), group, "place", surface)
 
-        return texts.map(one)
 
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.coalesce(x[text], F.lit("")))
-    return rows.groupBy(group).agg(ordered.alias("t")).select(group, F.pandas_udf(run, StringType())("t").alias("hash"))
+def structure_hash(rows: DataFrame, group: str, order: str, parts: list[str]) -> DataFrame:
+    """(group, hash): SHA-256 of the canonical string of a group's structure, `order:part:...` joined by bars."""
+    one = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (order, *parts)))
+    listed = F.array_sort(F.collect_list(F.struct(order, one.alias("s"))))
+    return rows.groupBy(group).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["s"]), "|"), 256).alias("hash"))
+
+
+def unified_tags(analyses: DataFrame, tagset: DataFrame, native: str, default: str = "Unmapped") -> DataFrame:
+    """The analyses with `unified`, by the (native, unified) tagset; unknown tags are Unmapped."""
+    known = tagset.select(F.col("native").alias(native), F.col("unified"))
+    return analyses.join(known, native, "left").withColumn("unified", F.coalesce("unified", F.lit(default)))
+
+
+def global_index(rows: DataFrame, order: list[str], name: str = "global_index") -> DataFrame:
+    """The rows with their place from 1 in a total order: ranks within ranges of the order, after the counts of the ranges before."""
+    spark = rows.sparkSession
+    from textloom import runtime
+    from pyspark.sql.window import Window
+
+    dealt = runtime.stored(rows.repartitionByRange(runtime.shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    # one row for each range
+    before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn(name, own.cast("long")).join(F.broadcast(before), "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
 
 
 def local_hash_embedding(text: Column, dimensions: int = 64) -> Column:
@@ -107,16 +133,63 @@ def set_status(sources: DataFrame, key: str, wanted: str, status: str) -> DataFr
     return sources.withColumn("status", F.when((F.col(key) == wanted) & F.col("status").isin(allowed), status).otherwise(F.col("status")))
 
 
-def refused_gradings(records: DataFrame) -> DataFrame:
-    """(record, code): hadith records without a text or number, with a grading that lacks its scholar or source, or twice."""
+def refused_records(records: DataFrame, collections: list[str] | None = None) -> DataFrame:
+    """(collection, source_number, code): hadith records that are refused, with the first of six reasons.
+
+    records: (collection, source_number, matn_text, gradings array<struct<scholar_name, grading_value, source_citation>>,
+    refused), as readers.hadith_json gives them. Without a list of collections any that is not blank will do.
+    """
     empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    lacking = lambda name: F.exists(F.coalesce("gradings", F.expr("array()")), lambda g: F.trim(F.coalesce(g[name], F.lit(""))) == "")
+    unknown = empty("collection") if collections is None else ~F.coalesce(F.col("collection").isin(collections), F.lit(False))
     checks = [
-        ("missing_text", empty("matn_text")),
         ("missing_number", empty("source_number")),
-        ("grading_without_scholar", F.exists(F.coalesce("gradings", F.expr("array()")), lambda g: F.trim(F.coalesce(g["scholar_name"], F.lit(""))) == "")),
-        ("grading_without_source", F.exists(F.coalesce("gradings", F.expr("array()")), lambda g: F.trim(F.coalesce(g["source_citation"], F.lit(""))) == "")),
+        ("missing_text", empty("matn_text")),
+        ("merged_grading", F.coalesce(F.col("refused"), F.lit(False))),
+        ("grading_without_scholar", lacking("scholar_name")),
+        ("grading_without_source", lacking("source_citation")),
+        ("unknown_collection", unknown),
     ]
-    found = F.filter(F.array(*(F.when(c, F.lit(code)) for code, c in checks)), lambda x: x.isNotNull())
-    single = records.select("collection", "source_number", F.explode(found).alias("code"))
-    twice = records.groupBy("collection", "source_number").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("collection", "source_number", F.lit("duplicate_number").alias("code"))
-    return single.unionByName(twice)
+    code = F.lit(None).cast("string")
+    for name, bad in reversed(checks):
+        code = F.when(bad, name).otherwise(code)
+    return records.select("collection", "source_number", code.alias("code")).filter("code IS NOT NULL")
+
+
+def bury(sources: DataFrame, documents: DataFrame, parts: dict[str, DataFrame], key: str, wanted: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(sources with the wanted one tombstoned, the parts without rows of its documents): embeddings and forms go with their source."""
+    gone = documents.filter(F.col(key) == wanted)
+    return set_status(sources, key, wanted, "tombstoned"), {name: rows.join(gone.select("doc_id"), "doc_id", "left_anti") for name, rows in parts.items()}
+
+
+def rebuild_forms(table, rows: DataFrame, key: str, text: str, names: tuple[str, ...] = tuple(FORMS)) -> int:
+    """Publish the derived forms of a corpus as a generation of a store.VersionedTable, unless the texts change meanwhile."""
+    before = _digest(rows, key, text)
+    staged = with_forms(rows.select(key, text), text, names).drop(text)
+
+    def unchanged(_: DataFrame) -> DataFrame:
+        same = before == _digest(rows, key, text)
+        return rows.sparkSession.createDataFrame([] if same else [("MV-018", "fatal", "forms", "the texts changed during the build")], "rule string, severity string, location string, message string")
+
+    return table.publish(staged, unchanged)
+
+
+def _digest(rows: DataFrame, key: str, text: str) -> tuple:
+    row = rows.select(F.xxhash64(key, text).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s")).first()
+    return row["n"], row["s"]
+
+
+#: What a retrieval configuration may name.
+PROVIDERS, ROUTERS = ("local-hash",), ("default", "hybrid", "lexical", "vector")
+
+
+def check_config(provider: str, dimensions: int, router: str, root: str) -> None:
+    """An error for a configuration that cannot be used."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}")
+    if router not in ROUTERS:
+        raise ValueError(f"unknown router {router}")
+    if not 1 <= dimensions <= 4096:
+        raise ValueError("dimensions lie between 1 and 4096")
+    if ".." in root.split("/"):
+        raise ValueError("a root must not leave its folder")

@@ -74,11 +74,16 @@ def cooccurrence(docs: DataFrame, form: Column, target: str, radius: int) -> Dat
 
 def collocation(docs: DataFrame, form: Column, target: str, radius: int, min_count: int = 3) -> DataFrame:
     """(token, n, total, expected, pmi, t_score, llr): association of neighbours of the target with it."""
-    pairs = cooccurrence(docs, form, target, radius).filter(F.col("n") >= min_count)
     counts = forms(token_stream(docs, [], form))
-    mass = cooccurrence(docs, form, target, radius).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = pairs.join(counts.withColumnRenamed("n", "count"), "token").join(F.broadcast(mass)).join(F.broadcast(total))
+    total = counts.agg(F.sum("n").alias("total")).first()["total"] or 0
+    return associated(cooccurrence(docs, form, target, radius), counts, F.lit(total), min_count)
+
+
+def associated(neighbours: DataFrame, counts: DataFrame, total: Column, min_count: int = 3) -> DataFrame:
+    """(token, n, total, expected, pmi, t_score, llr) of (token, n) neighbours, given the counts of all tokens and their total."""
+    mass = neighbours.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass"))
+    # the mass is one row
+    rows = neighbours.filter(F.col("n") >= min_count).join(counts.withColumnRenamed("n", "count"), "token").join(F.broadcast(mass)).withColumn("total", total)
     o, e = F.col("n").cast("double"), F.col("mass") / F.col("total") * F.col("count")
     rows = rows.withColumn("expected", e)
     o12, o21 = F.col("mass") - F.col("n"), F.col("count") - F.col("n")

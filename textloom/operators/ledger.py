@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,49 @@ def chain_hashes(log: DataFrame, sequence: str, payload: Column) -> DataFrame:
     return log.select(sequence, F.sha2(F.concat_ws("|", F.col(sequence).cast("string"), payload), 256).alias("entry_hash"))
 
 
+def append(last: tuple[int, str] | None, entries: list[tuple[str, str]]) -> list[tuple[int, str, str, str]]:
+    """(sequence, payload, previous_hash, chain_hash) of new entries (kind, payload) after the last one: each hash covers its predecessor's.
+
+    A chain is extended by its one writer, entry after entry, so this runs where the entries are.
+    """
+    sequence, previous = last or (0, "0" * 64)
+    out = []
+    for kind, payload in entries:
+        sequence += 1
+        own = hashlib.sha256(f"{previous}|{sequence}|{kind}|{payload}".encode()).hexdigest()
+        out.append((sequence, f"{kind}|{payload}", previous, own))
+        previous = own
+    return out
+
+
+def verify_chain(log: DataFrame, sequence: str = "sequence", payload: str = "payload", previous: str = "previous_hash", own: str = "chain_hash") -> DataFrame:
+    """(sequence, problem) of a hash-chained log: a gap, a link to another predecessor, or an entry whose hash is not its own."""
+    gaps = sequence_gaps(log, sequence).select(sequence, F.lit("gap").alias("problem"))
+    links = verify_links(log, sequence, previous, own).select(sequence, F.lit("link").alias("problem"))
+    hashes = log.filter(F.sha2(F.concat_ws("|", previous, F.col(sequence).cast("string"), payload), 256) != F.col(own)).select(sequence, F.lit("hash").alias("problem"))
+    return gaps.unionByName(links).unionByName(hashes)
+
+
+def settle(jobs: DataFrame, results: DataFrame, now: Column, base: float, cap: float, max_attempts: int) -> DataFrame:
+    """The jobs after a round of work: results (id, ok, error, fraction) finish a job, put it off by a jittered backoff, or, at the last attempt, into the dead letters."""
+    from textloom.functions import text as scalar
+
+    joined = jobs.join(results, "id", "left")
+    attempts = F.col("attempts") + F.when(F.col("ok").isNotNull(), 1).otherwise(0)
+    state = F.when(F.col("ok").isNull(), F.col("state")).when(F.col("ok"), "done").when(attempts >= max_attempts, "dead_letter").otherwise("queued")
+    wait = scalar.backoff(F.lit(base), (attempts - 1).cast("double"), cap, 0.1, F.coalesce("fraction", F.lit(0.5)))
+    later = F.timestamp_micros((F.unix_micros(now) + wait * 1_000_000).cast("long"))
+    available = F.when(state.eqNullSafe("queued") & F.col("ok").isNotNull(), later).otherwise(F.col("available_at"))
+    kept = [c for c in jobs.columns if c not in ("attempts", "state", "available_at")]
+    return joined.select(*kept, attempts.alias("attempts"), state.alias("state"), available.alias("available_at"))
+
+
+def reap(jobs: DataFrame, now: Column) -> DataFrame:
+    """The jobs with those whose lease ran out claimable again."""
+    gone = (F.col("state") == "running") & (F.col("lease_until") < now)
+    return jobs.withColumn("state", F.when(gone, "interrupted").otherwise(F.col("state"))).withColumn("lease_until", F.when(~gone, F.col("lease_until")))
+
+
 def verify_links(chain: DataFrame, sequence: str, previous_hash: str, own_hash: str) -> DataFrame:
     """Entries whose stored predecessor hash is not that of the entry before."""
     before = chain.select((F.col(sequence) + 1).alias(sequence), F.col(own_hash).alias("expected"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from textloom.functions import text as scalar
@@ -14,9 +17,30 @@ RRF_K = 60
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, score): the k nearest by cosine, score descending then id; a literal query, so no join."""
-    wanted = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select(id_col, scalar.cosine(F.col(vec_col), wanted).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    """(id, score): the k nearest by cosine, score descending then id. Each batch of vectors is one product with the query
+    and keeps its own k best, so few rows are sorted. Vectors of other lengths meet the query over the shorter one."""
+    wanted = np.asarray(query, np.float64)
+    rows = vectors.select(id_col, F.coalesce(F.col(vec_col), F.array().cast(vectors.schema[vec_col].dataType)).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat, first = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
+            score = np.zeros(len(size))
+            for n in np.unique(size[size > 0]).tolist():
+                at, m = np.flatnonzero(size == n), min(n, len(wanted))
+                some, part = flat[first[at][:, None] + np.arange(m)], wanted[:m]
+                norm = np.linalg.norm(some, axis=1) * np.linalg.norm(part)
+                score[at] = np.divide(some @ part, norm, out=np.zeros(len(at)), where=norm > 0)
+            if len(score) > k:  # all that tie with the k-th stay
+                kept = pa.array(np.flatnonzero(score >= np.partition(score, -k)[-k]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array(score).take(kept)], [id_col, "score"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [id_col, "score"])
+
+    schema = StructType([rows.schema[id_col], *StructType.fromDDL("score double")])
+    return rows.mapInArrow(run, schema).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def ranked(hits: DataFrame, id_col: str, score: str, limit: int = 1000) -> DataFrame:

@@ -10,11 +10,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import normalize, text as scalar
+from textloom.functions import normalize, spans, text as scalar
 
 MAX_LIMIT, MAX_PATTERN_BYTES, MAX_EXPANSION = 1000, 512, 128
 MATCH_MODES = ("whole_token", "substring", "prefix")
@@ -62,11 +62,15 @@ def match(text: Column, term: str, mode: str) -> Column:
     return F.contains(text, F.lit(term)) if mode == "substring" else F.startswith(text, F.lit(term))
 
 
-def scan(docs: DataFrame, term: str, mode: str = "whole_token", profile: str = "L1.ws", text_col: str = "text") -> DataFrame:
-    """The rows whose normalised text matches, with `start`, the character offset of the first match in it."""
-    form = normalize.profile(profile, F.col(text_col))
-    term = normalise_query(docs, term, profile)
-    rows = docs.withColumn("form", form).filter(match(F.col("form"), term, mode))
+def scan(docs: DataFrame, term: str, mode: str = "whole_token", profile: str | Sequence[str] = "L1.ws", text_col: str = "text") -> DataFrame:
+    """The rows whose normalised text matches, with `start`, the character offset of the first match in it. A profile is registered or a list of rules."""
+    rules = normalize.rules_of(profile)
+    return located(docs.withColumn("form", normalize.pipeline(rules, F.col(text_col))), normalise_query(docs.sparkSession, term, profile), mode)
+
+
+def located(rows: DataFrame, term: str, mode: str) -> DataFrame:
+    """The rows whose `form` matches a normalised term, with `start`."""
+    rows = rows.filter(match(F.col("form"), term, mode))
     if mode == "whole_token":
         start = F.instr(F.concat(F.lit(" "), F.array_join(scalar.tokens(F.col("form")), " "), F.lit(" ")), f" {term} ") - 1
     else:
@@ -74,9 +78,41 @@ def scan(docs: DataFrame, term: str, mode: str = "whole_token", profile: str = "
     return rows.withColumn("start", start)
 
 
-def normalise_query(docs: DataFrame, term: str, profile: str) -> str:
-    one = docs.sparkSession.createDataFrame([(term,)], "t string")
-    return one.select(normalize.profile(profile, F.col("t")).alias("t")).first()["t"]
+def normalise_query(spark: SparkSession, term: str, profile: str | Sequence[str]) -> str:
+    """A query term under a profile or a list of rules; on the driver, as it is one string."""
+    return spans.forward(tuple(normalize.rules_of(profile)), term)[0]
+
+
+@dataclass(frozen=True)
+class Found:
+    """Hits of a scan, the profile they were found under, and warnings for whoever asked."""
+
+    rows: DataFrame
+    total: int
+    profile: str
+    warnings: tuple[str, ...] = ()
+
+
+def search_exact(docs: DataFrame, term: str, profile: str = "L1.ws", mode: str = "whole_token", text_col: str = "text") -> Found:
+    """Exact search under L0 or L1. Without a hit, a term with Persian letters gets the hint to search a folded profile."""
+    if profile not in ("L0.exact", "L1.ws"):
+        raise ValueError("exact search takes the profile L0.exact or L1.ws")
+    rows = scan(docs, term, mode, profile, text_col)
+    total = rows.count()
+    hint = ("no exact hit; the term has Persian letters, which L5.codepoints folds",) if not total and persian_letters(term) else ()
+    return Found(rows, total, profile, hint)
+
+
+def search_normalised(docs: DataFrame, term: str, profile: str | Sequence[str], mode: str = "whole_token", text_col: str = "text") -> Found:
+    """Search under a registered profile or ad-hoc rules; experimental profiles say so."""
+    label = profile if isinstance(profile, str) else normalize.adhoc_label(list(profile))
+    rows = scan(docs, term, mode, profile, text_col)
+    return Found(rows, rows.count(), label, ("the profile is experimental",) if label in ("L7.affix", "L8.fuzzy") else ())
+
+
+def persian_letters(term: str) -> bool:
+    """Whether folding Persian letters changes a term."""
+    return spans.forward(("N10",), term)[0] != term
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = True) -> DataFrame:
@@ -102,7 +138,28 @@ class Bool:
     must_not: tuple = field(default=())
 
 
+@dataclass(frozen=True)
+class All:
+    """Every document."""
+
+
+@dataclass(frozen=True)
+class Range:
+    """Documents whose metadata column lies between two ends, open where None. Only a whole query, never part of one."""
+
+    column: str
+    low: int | None = None
+    high: int | None = None
+
+    def condition(self) -> Column:
+        return metadata_filter({self.column: (self.low, self.high)})
+
+
 def satisfiable(query) -> bool:
+    if isinstance(query, All):
+        return True
+    if isinstance(query, Range):
+        raise ValueError("a range is a query of its own and no part of a boolean one")
     if isinstance(query, Term):
         return bool(query.token.strip())
     if isinstance(query, Phrase):
@@ -113,9 +170,13 @@ def satisfiable(query) -> bool:
 
 
 def predicate(query, words: Column) -> Column:
-    """A query as a condition on a token array."""
+    """A query as a condition on a token array; a range, as a whole query, on its column."""
+    if isinstance(query, Range):
+        return query.condition()
     if not satisfiable(query):
         return F.lit(False)
+    if isinstance(query, All):
+        return F.lit(True)
     if isinstance(query, Term):
         return F.array_contains(words, query.token)
     if isinstance(query, Phrase):
@@ -219,19 +280,47 @@ def skeletons(turns: DataFrame, group_col: str, order_col: str, text_col: str, p
 
 def concatenated(skeleton_rows: DataFrame, query: str, group_col: str, profile: str = "L6.skeleton") -> DataFrame:
     """Spaceless search: rows whose skeleton holds the query's; a row's own hit hides those of windows over it."""
-    wanted = normalise_query(skeleton_rows, query, profile)
+    wanted = normalise_query(skeleton_rows.sparkSession, query, profile)
     hits = skeleton_rows.filter(F.contains("skeleton", F.lit(wanted)) if wanted else F.lit(False)).withColumn("start", F.instr("skeleton", wanted) - 1).withColumn("spans", F.col("first") != F.col("last"))
     own = hits.filter("NOT spans").select(group_col, F.col("first").alias("hit"))
     covered = hits.filter("spans").join(own, (hits[group_col] == own[group_col]) & own["hit"].between(F.col("first"), F.col("last")), "left_anti")
     return hits.filter("NOT spans").unionByName(covered.select(hits.columns)).select(group_col, "first", "last", "start", "spans")
 
 
-def trigram_recall(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids whose text holds every trigram of the query, by postings; then verified by substring."""
-    wanted = sorted({query[k : k + 3] for k in range(len(query) - 2)})
-    if not wanted:
-        return docs.filter(F.contains(text_col, F.lit(query))).select(id_col)
-    held = F.lit(True)
-    for one in wanted:
-        held = held & F.contains(F.col(text_col), F.lit(one))
-    return docs.filter(held & F.contains(text_col, F.lit(query))).select(id_col)
+def segments(hits: DataFrame, key: list[str], query: str, text_col: str = "text", profile: str = "L6.skeleton") -> DataFrame:
+    """(key, token, query_part): the tokens that a match covers and the part of the query that each of them holds.
+
+    hits: (key, start, text) of rows whose skeleton holds the normalised query at `start`.
+    """
+    size = len(query)
+    rows = hits.select(*key, "start", F.posexplode(scalar.tokens(F.col(text_col))).alias("token", "word"))
+    rows = rows.select(*key, "start", "token", F.length(normalize.profile(profile, F.col("word"))).alias("size"))
+    before = Window.partitionBy(*key).orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    low, high = F.greatest(F.col("at") - F.col("start"), F.lit(0)), F.least(F.col("at") + F.col("size") - F.col("start"), F.lit(size))
+    part = F.substr(F.lit(query), (low + 1).cast("int"), (high - low).cast("int"))
+    return rows.filter(high > low).select(*key, "token", part.alias("query_part"))
+
+
+class RateLimiter:
+    """At most `limit` calls of a principal in any `seconds`; the caller gives the time, so it can be tested and replayed."""
+
+    def __init__(self, limit: int = 10, seconds: float = 60.0) -> None:
+        self.limit, self.seconds, self._calls = limit, seconds, {}
+
+    def allow(self, principal: str, now: float) -> bool:
+        recent = [t for t in self._calls.get(principal, ()) if now - t < self.seconds]
+        self._calls[principal] = recent
+        if len(recent) >= self.limit:
+            return False
+        recent.append(now)
+        return True
+
+
+def guarded_regex(index, pattern: str, principal: str, limiter: RateLimiter, now: float, allowed: Sequence[str] | None = None) -> DataFrame:
+    """A regex search over an index under a principal's rate limit and, where given, an allow-list of principals."""
+    if allowed is not None and principal not in allowed:
+        raise PermissionError(f"{principal} may not search by pattern")
+    if not limiter.allow(principal, now):
+        raise RuntimeError(f"more than {limiter.limit} searches in {limiter.seconds:g} seconds")
+    return index.regex(pattern)

@@ -1,7 +1,6 @@
 """Queries of the core operators over the harness tables, each with its DuckDB SQL where SQL can say it.
 
-Every query reads its whole tables. `@query(sql)` registers a function (spark, tables) under its own name; `tables`
-reads a table of the directory by name.
+Every query reads its whole tables; searches read stored indexes over whole tables, which the first of them builds.
 """
 
 from __future__ import annotations
@@ -13,28 +12,18 @@ from pyspark.sql import functions as F
 
 from textloom.functions import normalize, text as scalar
 from textloom.operators import corpus, counting, graph, joins, ledger, quality, retrieval, search
-
-Tables = Callable[[str], DataFrame]
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracles: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, Tables], DataFrame]):
-        _queries[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql is not None:
-            _oracles[f.__name__] = sql
-        return f
-
-    return register
+from textloom.plans.register import ORACLES, QUERIES, W as _W, Source as Tables, query, words
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    from textloom.plans import corpus_queries, edition_queries, graph_queries, index_queries  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    queries()
+    return dict(ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +33,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(labels, "doc_id", "left").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-WORDS = r"list_filter(regexp_split_to_array({}, '[\x{{09}}-\x{{0D}}\x{{20}}]+'), lambda x: x <> '')"
-
-
-def words(text: str) -> str:
-    return WORDS.format(text)
-
-
 # ---- normalisation -------------------------------------------------------------------------------------------------
 
 _LATIN = ("N01", "N11", "N16", "N12", "N13")
@@ -76,7 +58,7 @@ def norm_skeleton(spark, t):
     return t("documents").select("doc_id", F.sha2(normalize.profile("L6.skeleton", F.col("text")), 256).alias("form"))
 
 
-@query(None)
+@query("SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, ''), lambda c, i: NOT (i > 2 AND c = substr(text, i - 1, 1) AND c = substr(text, i - 2, 1))), '')) AS form FROM documents")
 def norm_dedupe(spark, t):
     return t("documents").select("doc_id", F.sha2(normalize.rule("N22", F.col("text")), 256).alias("form"))
 
@@ -125,25 +107,6 @@ def tok_reconstruct(spark, t):
     return t("documents").select("doc_id", (scalar.reconstruct(scalar.tokens(text), scalar.separators(text)) == text).alias("same"))
 
 
-@query("""SELECT item_id, len(g)::BIGINT AS n, sha256(array_to_string(g, '|')) AS grams FROM (SELECT item_id, list_sort(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM benchmark)""")
-def tok_trigrams(spark, t):
-    g = scalar.trigrams(F.col("text"))
-    return t("benchmark").select("item_id", F.size(g).cast("long").alias("n"), F.sha2(F.array_join(g, "|"), 256).alias("grams"))
-
-
-@query("""SELECT item_id, len(g)::BIGINT AS n FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS g FROM benchmark)""")
-def tok_shingles(spark, t):
-    return t("benchmark").select("item_id", F.size(scalar.shingles(F.col("text"), 5)).cast("long").alias("n"))
-
-
-@query("""SELECT item_id, slot, list_min(list_transform(g, lambda s: substr(sha256(slot || ':' || s), 1, 16))) AS minimum FROM
-(SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS g FROM benchmark), (SELECT unnest(range(4))::INT AS slot)""")
-def minhash_signature(spark, t):
-    g = scalar.shingles(F.col("text"), 5)
-    slots = F.array(*(F.struct(F.lit(k).alias("slot"), scalar.minhash_slot(F.col("g"), k).alias("minimum")) for k in range(4)))
-    return t("benchmark").select("item_id", g.alias("g")).select("item_id", F.explode(slots).alias("s")).select("item_id", "s.*")
-
-
 @query(None)
 def minhash64_documents(spark, t):
     g = scalar.shingles(F.col("text"), 5)
@@ -151,29 +114,11 @@ def minhash64_documents(spark, t):
     return t("documents").select("doc_id", g.alias("g")).select("doc_id", F.explode(slots).alias("s")).select("doc_id", "s.*")
 
 
-@query(None)
-def trigrams_documents(spark, t):
-    g = scalar.trigrams(F.col("text"))
-    return t("documents").select("doc_id", F.size(g).cast("long").alias("n"), F.sha2(F.array_join(g, "|"), 256).alias("grams"))
-
-
-@query(None)
-def shingles_documents(spark, t):
-    return t("documents").select("doc_id", F.size(scalar.shingles(F.col("text"), 5)).cast("long").alias("n"))
-
-
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS hash, octet_length(encode(text))::BIGINT AS n_bytes, length(text)::BIGINT AS n_chars FROM documents")
 def hash_text(spark, t):
     return t("documents").select("doc_id", scalar.tagged_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("SELECT conv_id, sha256(string_agg(turn || ':' || role, '|' ORDER BY turn, role)) AS structure FROM conversations GROUP BY conv_id")
-def hash_structure(spark, t):
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    joined = F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), "|")
-    return t("conversations").groupBy("conv_id").agg(F.sha2(joined, 256).alias("structure"))
-
-
 @query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?i)\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'), '(?i)(javascript|data):', '', 'g')) AS clean FROM pages""")
 def sanitize_html(spark, t):
     return t("pages").select("page_id", F.sha2(scalar.sanitize_html(F.col("html")), 256).alias("clean"))
@@ -184,7 +129,10 @@ def redact_text(spark, t):
     return t("documents").select("doc_id", F.sha2(scalar.redact(F.col("text")), 256).alias("clean"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS snippet FROM documents")
+_SNIPPET = "CASE WHEN octet_length(encode(text)) > 100 THEN substr(text, 1, list_max(list_filter(range(0, 101), lambda k: octet_length(encode(substr(text, 1, k))) <= 100))) || '...' ELSE text END"
+
+
+@query(f"SELECT doc_id, {_SNIPPET} AS snippet FROM documents")
 def snippets(spark, t):
     return t("documents").select("doc_id", scalar.snippet(F.col("text")).alias("snippet"))
 
@@ -228,99 +176,14 @@ def scan_whole_token(spark, t):
     return search.scan(t("documents"), "the", "whole_token").select("doc_id", F.col("start").cast("long").alias("start"))
 
 
-@query(f"SELECT doc_id, instr(form, 'ation') - 1 AS start FROM (SELECT doc_id, {normalize.sql(('N01', 'N11', 'N16'), 'text')} AS form FROM documents) WHERE contains(form, 'ation')")
-def scan_substring(spark, t):
-    return search.scan(t("documents"), "ation", "substring").select("doc_id", F.col("start").cast("long").alias("start"))
-
-
 @query(f"SELECT doc_id FROM documents WHERE starts_with({normalize.sql(('N01', 'N11', 'N16'), 'text')}, 'The ')")
 def scan_prefix(spark, t):
     return t("documents").filter(search.match(normalize.profile("L1.ws", F.col("text")), "The ", "prefix")).select("doc_id")
 
 
-_W = f"(SELECT doc_id, lang, source, {words('lower(text)')} AS w FROM documents)"
-
-
-@query(f"SELECT doc_id FROM {_W} WHERE list_contains(w, 'heed')")
-def fts_term(spark, t):
-    return t("documents").filter(search.predicate(search.Term("heed"), scalar.tokens(F.lower("text")))).select("doc_id")
-
-
-@query(f"SELECT doc_id FROM {_W} WHERE list_contains(w, 'the') AND contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'heed')")
-def fts_boolean(spark, t):
-    wanted = search.Bool(must=(search.Term("the"), search.Phrase(("of", "the"))), should=(search.Term("that"),), must_not=(search.Term("heed"),))
-    return t("documents").filter(search.predicate(wanted, scalar.tokens(F.lower("text")))).select("doc_id")
-
-
-@query(f"SELECT doc_id FROM {_W} WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' that the ')")
-def fts_phrase(spark, t):
-    return t("documents").filter(search.predicate(search.Phrase(("that", "the")), scalar.tokens(F.lower("text")))).select("doc_id")
-
-
-@query(f"""WITH p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM {_W})
-SELECT DISTINCT a.doc_id, a.pos AS start FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.token = 'the' AND b.token = 'of' AND b.pos - a.pos BETWEEN 1 AND 3""")
-def fts_near(spark, t):
-    return search.near(t("documents"), ["the", "of"], 2).select("doc_id", F.col("start").cast("long").alias("start"))
-
-
-@query(f"SELECT doc_id, count(*) AS n_hits FROM (SELECT doc_id, unnest(w) AS token FROM {_W}) WHERE regexp_matches(token, '^thinth') GROUP BY doc_id")
-def fts_regex_expand(spark, t):
-    docs = t("documents")
-    search.validate_pattern("^thinth")
-    posted = search.postings(docs).filter(F.col("token").rlike("^thinth"))
-    return posted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
-
-
-def _bm25_sql(terms: list[str]) -> str:
-    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS tf{k}" for k, x in enumerate(terms))
-    df = ", ".join(f"sum((tf{k} > 0)::INT) AS df{k}" for k in range(len(terms)))
-    score = " + ".join(f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
-    any_hit = " OR ".join(f"tf{k} > 0" for k in range(len(terms)))
-    return f"WITH c AS (SELECT doc_id, len(w) AS dl, {tf} FROM {_W}), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c) SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE {any_hit}"
-
-
-@query(_bm25_sql(["heed", "thinth"]))
-def fts_bm25(spark, t):
-    return search.bm25(t("documents"), ["heed", "thinth"]).select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query(f"SELECT doc_id FROM {_W} WHERE list_contains(w, 'the') ORDER BY doc_id LIMIT 50 OFFSET 10")
-def fts_page(spark, t):
-    hits = t("documents").filter(search.predicate(search.Term("the"), scalar.tokens(F.lower("text")))).select("doc_id")
-    return search.page(hits, [F.col("doc_id")], 50, 10)
-
-
-_SKELETON = normalize.sql(normalize.PROFILES["L6.skeleton"], "raw")
-_SKELETONS_SQL = f"""WITH r AS (SELECT conv_id, turn, text, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(turn, 2) OVER w AS o2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-k AS (SELECT conv_id, turn AS first, turn AS last, text AS raw FROM r UNION ALL SELECT conv_id, turn, o2, concat_ws(' ', text, t1, t2) FROM r WHERE o2 IS NOT NULL),
-s AS (SELECT conv_id, first, last, {_SKELETON} AS skeleton FROM k)"""
-
-
-@query(_SKELETONS_SQL + " SELECT conv_id, first, last, sha256(skeleton) AS skeleton FROM s")
-def skeleton_windows(spark, t):
-    return search.skeletons(t("conversations"), "conv_id", "turn", "text").withColumn("skeleton", F.sha2("skeleton", 256))
-
-
-@query(_SKELETONS_SQL + """, h AS (SELECT conv_id, first, last, instr(skeleton, 'ofthe') - 1 AS start, first <> last AS spans FROM s WHERE contains(skeleton, 'ofthe'))
-SELECT * FROM h WHERE NOT spans OR NOT EXISTS (SELECT 1 FROM h o WHERE NOT o.spans AND o.conv_id = h.conv_id AND o.first BETWEEN h.first AND h.last)""")
-def concat_search(spark, t):
-    rows = search.concatenated(search.skeletons(t("conversations"), "conv_id", "turn", "text"), "of the", "conv_id")
-    return rows.withColumn("start", F.col("start").cast("long"))
-
-
-@query("SELECT doc_id FROM documents WHERE contains(text, 'heation')")
-def trigram_recall(spark, t):
-    return search.trigram_recall(t("documents"), "heation")
-
-
 # ---- counting ------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT source, sum(n)::BIGINT AS n FROM (SELECT source, len(list_filter(w, lambda x: x = 'the')) AS n FROM {_W}) WHERE n > 0 GROUP BY source")
-def count_frequency(spark, t):
-    return counting.frequency(t("documents"), "source", F.lower("text"), "the")
-
-
 @query(f"""SELECT 'the' AS target, sum(n)::BIGINT AS n, count(*) AS n_groups, sha256('the|["L0.exact", "lower"]|' || sum(n)::BIGINT || '|' || count(*)) AS checksum FROM
 (SELECT source, sum(n) AS n FROM (SELECT source, len(list_filter(w, lambda x: x = 'the')) AS n FROM {_W}) WHERE n > 0 GROUP BY source)""")
 def count_report(spark, t):
@@ -348,28 +211,6 @@ def count_first_last(spark, t):
     return counting.first_last(t("documents"), "doc_id", F.lower("text"), "heed")
 
 
-_CO = """WITH p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM {w}),
-c AS (SELECT b.token, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.token = 'heed' AND b.token <> 'heed' AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 GROUP BY b.token)""".format(w=_W)
-
-
-@query(_CO + " SELECT token, n FROM c")
-def cooccurrence(spark, t):
-    return counting.cooccurrence(t("documents"), F.lower("text"), "heed", 5)
-
-
-def _log_term(o: str, e: str) -> str:
-    return f"CASE WHEN {o} > 0 AND {e} > 0 THEN ({o}) * ln(({o}) / ({e})) ELSE 0 END"
-
-
-@query(_CO + f""", f AS (SELECT token, count(*) AS cnt FROM p GROUP BY token), m AS (SELECT sum(n) AS mass FROM c), tt AS (SELECT sum(cnt) AS total FROM f),
-x AS (SELECT token, n::DOUBLE AS n, cnt::DOUBLE AS cnt, mass::DOUBLE AS mass, total::DOUBLE AS total, mass::DOUBLE / total::DOUBLE * cnt AS e FROM c JOIN f USING (token), m, tt WHERE n >= 3)
-SELECT token, n::BIGINT AS n, round(e, 6) AS expected, round(log2(n / e), 6) AS pmi, round((n - e) / sqrt(n), 6) AS t_score,
-round(greatest(2 * ({_log_term('n', 'e')} + {_log_term('(mass - n)', '(mass - e)')} + {_log_term('(cnt - n)', '(cnt - e)')} + {_log_term('(total - mass - cnt + n)', '(total - mass - cnt + e)')}), 0), 4) AS llr FROM x""")
-def collocation(spark, t):
-    rows = counting.collocation(t("documents"), F.lower("text"), "heed", 5)
-    return rows.select("token", "n", F.round("expected", 6).alias("expected"), F.round("pmi", 6).alias("pmi"), F.round("t_score", 6).alias("t_score"), F.round("llr", 4).alias("llr"))
-
-
 @query("SELECT 'all_analyses' AS mode, event_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'one_vote_per_token', event_type, count(*) FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type UNION ALL SELECT 'single_source', event_type, count(*) FROM (SELECT user_id, min(event_type) AS event_type FROM events GROUP BY user_id HAVING count(*) = 1) GROUP BY event_type")
 def count_modes(spark, t):
     parts = [counting.votes(t("events"), ["user_id"], "event_type", m).select(F.lit(m).alias("mode"), "event_type", "n") for m in counting.MODES]
@@ -390,13 +231,13 @@ def rle_divisions(spark, t):
 
 
 @query("""WITH o AS (SELECT doc_id, lang, lower(source) AS v FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END AS v FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT -1, 'new')
-SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.v = n.v THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id) GROUP BY change""")
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.v = n.v THEN 'unchanged' ELSE 'changed' END AS change, o.v AS old, n.v AS new FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def diff_full_outer(spark, t):
     docs = t("documents")
     old = docs.select("doc_id", F.lower("source").alias("v"))
     new = docs.filter("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.upper("source")).otherwise(F.col("source")).alias("v"))
     new = new.unionByName(spark.createDataFrame([(-1, "new")], "doc_id long, v string"))
-    return joins.diff(old, new, ["doc_id"], "v").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return joins.diff(old, new, ["doc_id"], "v")
 
 
 @query("""WITH b AS (SELECT doc_id, upper(lang) AS lang, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE source END AS source FROM documents WHERE doc_id % 11 <> 0), j AS (SELECT a.doc_id, a.lang AS al, b.lang AS bl, a.source AS s1, b.source AS s2, b.doc_id AS bid FROM documents a FULL JOIN b ON a.doc_id = b.doc_id)
@@ -408,12 +249,12 @@ def dataset_diff(spark, t):
     return joins.compare_fields(a, b, ["doc_id"], ["lang", "source"])
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber + (l_orderkey % 2) AS l_linenumber, l_returnflag AS v FROM lineitem) SELECT status, count(*) AS n FROM (SELECT CASE WHEN c.v IS NULL THEN 'unmatched' WHEN c.v = l.l_returnflag THEN 'matched' ELSE 'mapped' END AS status
-FROM lineitem l LEFT JOIN c ON l.l_orderkey = c.l_orderkey AND l.l_linenumber = c.l_linenumber) GROUP BY status""")
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber + (l_orderkey % 2) AS l_linenumber, l_returnflag AS v FROM lineitem) SELECT l.l_orderkey, l.l_linenumber, l_returnflag, CASE WHEN c.v IS NULL THEN 'unmatched' WHEN c.v = l.l_returnflag THEN 'matched' ELSE 'mapped' END AS status
+FROM lineitem l LEFT JOIN c ON l.l_orderkey = c.l_orderkey AND l.l_linenumber = c.l_linenumber""")
 def align_tokens(spark, t):
     lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     moved = lines.withColumn("l_linenumber", (F.col("l_linenumber") + F.col("l_orderkey") % 2).cast(lines.schema["l_linenumber"].dataType))
-    return joins.align(lines, moved, ["l_orderkey", "l_linenumber"], "l_returnflag").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return joins.align(lines, moved, ["l_orderkey", "l_linenumber"], "l_returnflag")
 
 
 @query(_RUNS + " SELECT c.conv_id, c.turn, d.first, d.last, d.role, d.n FROM conversations c JOIN d ON c.conv_id = d.conv_id AND c.turn BETWEEN d.first AND d.last")
@@ -428,11 +269,6 @@ def context_window(spark, t):
     return joins.context(turns, turns.filter("role = 'user'"), "conv_id", "turn", 2, 1)
 
 
-@query("""SELECT p_brand, least(p_partkey, nxt) AS low, greatest(p_partkey, nxt) AS high FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_type) AS nxt FROM (SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY ALL)) WHERE nxt IS NOT NULL""")
-def family_pairs(spark, t):
-    return joins.families(t("part"), "p_brand", "p_partkey", "p_type")
-
-
 @query("SELECT p_brand, p_type, p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS representative FROM part")
 def family_members(spark, t):
     return joins.family_members(t("part"), "p_brand", "p_partkey", "p_type")
@@ -448,7 +284,7 @@ ci AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(w) AS t
 s AS (SELECT doc_id, item_id, sum(least(ci.c, cd.c))::BIGINT AS shared FROM cd JOIN ci USING (token) GROUP BY ALL)
 SELECT doc_id, item_id, shared, round(2 * shared / (nd + len(i.w)), 6) AS score FROM s JOIN a USING (doc_id) JOIN i USING (item_id) WHERE 2 * shared / (nd + len(i.w)) >= 0.4""")
 def link_suggest_dice(spark, t):
-    rows = joins.multiset_dice(t("documents"), t("benchmark"), "doc_id", "item_id", F.lower("text")).filter("score >= 0.4")
+    rows = joins.multiset_dice(t("documents"), t("benchmark"), "doc_id", "item_id", F.lower("text"), 0.4)
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -457,11 +293,6 @@ def orphan_customers(spark, t):
     return joins.orphans(t("customer"), t("orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
-@query("WITH RECURSIVE l(n, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT l.n + 5, depth + 1 FROM l WHERE l.n + 5 < 25) SELECT n_name, depth FROM l JOIN nation ON n = n_nationkey")
-def lineage_recursive(spark, t):
-    return spark.sql("WITH RECURSIVE l(n, depth) AS (SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey = 0 UNION ALL SELECT l.n + 5, depth + 1 FROM l WHERE l.n + 5 < 25) SELECT n_name, depth FROM l JOIN {nation} ON n = n_nationkey", nation=t("nation"))
-
-
 # ---- graph over the TPC-H keys -------------------------------------------------------------------------------------
 
 
@@ -480,9 +311,9 @@ _EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'CONTAINS' AS edge, 'n' || n
 UNION ALL SELECT 'n' || s_nationkey, 'CONTAINS', 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || o_custkey, 'PLACED', 'o' || o_orderkey FROM orders)"""
 
 
-@query(f"WITH {_EDGES} SELECT edge, left(src, 1) AS kind, count(*) AS n, count(DISTINCT src) AS sources FROM e GROUP BY ALL")
+@query(f"WITH {_EDGES} SELECT src, edge, dst FROM e")
 def graph_build(spark, t):
-    return _edges(t).groupBy("edge", F.substring("src", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"))
+    return _edges(t)
 
 
 @query(f"WITH {_EDGES} SELECT edge, other FROM (SELECT edge, dst AS other FROM e WHERE src = 'n3' UNION SELECT edge, src FROM e WHERE dst = 'n3') ORDER BY 1, 2 LIMIT 128")
@@ -568,19 +399,6 @@ def citations_verify(spark, t):
 # ---- quality and ledgers -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'QV-022' AS rule, 'warning' AS severity, source || ':' || min(doc_id) AS location, 'text repeats within its group' AS message FROM documents GROUP BY source, text HAVING count(*) > 1
-UNION ALL SELECT 'QV-006', 'error', source || ':' || doc_id, 'blank text' FROM documents WHERE trim(text) = ''
-UNION ALL SELECT 'QV-005', 'error', source || ':' || doc_id, 'numbers of a group are not contiguous' FROM (SELECT *, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) WHERE doc_id <> coalesce(b + 1, 0)""")
-def dq_edition(spark, t):
-    return quality.validate_texts(t("documents"), "source", "doc_id", "text")
-
-
-@query("SELECT 'QV-003' AS rule, 'error' AS severity, source AS location, 'declared ' || coalesce(d::VARCHAR, 'none') || ', actual ' || coalesce(a::VARCHAR, 'none') AS message FROM (SELECT source, count(*) AS d FROM documents WHERE doc_id % 13 <> 0 GROUP BY source) FULL JOIN (SELECT source, count(*) AS a FROM documents GROUP BY source) USING (source) WHERE d IS DISTINCT FROM a")
-def dq_counts(spark, t):
-    docs = t("documents")
-    return quality.validate_counts(docs, docs.filter("doc_id % 13 <> 0").groupBy("source").agg(F.count(F.lit(1)).alias("declared")), "source")
-
-
 @query("SELECT 'QV-018' AS rule, 'error' AS severity, conv_id || ':' || turn AS location, 'size falls' AS message FROM (SELECT *, length(text) AS size, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE size < b")
 def monotone_checks(spark, t):
     return quality.validate_monotone(t("conversations").withColumn("size", F.length("text")), "conv_id", "turn", "size")
@@ -632,13 +450,10 @@ def latest_state(spark, t):
     return ledger.latest(t("events"), "user_id", ["event_id"], ["event_type"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b = event_type")
+@query("SELECT user_id, event_id, b AS before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE NOT coalesce((b IS NULL AND event_type = 'view') OR (b = 'view' AND event_type IN ('click', 'view')) OR (b = 'click' AND event_type = 'purchase'), false)")
 def illegal_transitions(spark, t):
-    events = t("events").select("user_id", "event_id", "ts", "event_type")
-    from pyspark.sql.window import Window
-
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.withColumn("b", before).filter("b = event_type").select("user_id", "event_id")
+    allowed = [(None, "view"), ("view", "click"), ("view", "view"), ("click", "purchase")]
+    return ledger.transitions(t("events"), "user_id", ["ts", "event_id"], "event_type", allowed).select("user_id", "event_id", "before")
 
 
 @query("SELECT event_type, event_id FROM (SELECT event_type, event_id, dense_rank() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS age FROM events) WHERE age > 100")
@@ -678,33 +493,41 @@ def forms_coverage(spark, t):
     return corpus.coverage(docs, docs.select((F.col("doc_id") + 5).alias("doc_id")), "doc_id")
 
 
-@query(f"SELECT doc_id, l.quality, l.toxic, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS snippet FROM documents JOIN (SELECT doc_id AS d, quality, toxic FROM labels) l ON doc_id = l.d JOIN {_W.replace('SELECT doc_id, lang, source,', 'SELECT doc_id AS wd,')} ON wd = doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') ORDER BY doc_id LIMIT 1000")
+@query(f"SELECT doc_id, l.quality, l.toxic, {_SNIPPET} AS snippet FROM documents JOIN (SELECT doc_id AS d, quality, toxic FROM labels) l ON doc_id = l.d JOIN {_W.replace('SELECT doc_id, lang, source,', 'SELECT doc_id AS wd,')} ON wd = doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') ORDER BY doc_id LIMIT 1000")
 def domain_search(spark, t):
     rows = corpus.domain_search(t("documents"), t("labels"), "doc_id", ("of", "the"), "doc_id", "text", 1000)
     return rows.toDF("doc_id", "again", "quality", "toxic", "snippet").drop("again")
 
 
-@query(None)
+_LITTLE = " || ".join(f"substr(lpad(to_hex(octet_length(encode(text))), 16, '0'), {15 - 2 * k}, 2)" for k in range(8))
+
+
+@query(f"SELECT conv_id, sha256(unhex(string_agg({_LITTLE} || hex(encode(text)), '' ORDER BY turn, text))) AS hash FROM conversations GROUP BY conv_id")
 def hash_stream(spark, t):
     return corpus.text_hash(t("conversations"), "conv_id", "turn", "text")
 
 
-@query(None)
+_BLOCKS = " || ".join(f"substr(sha256(encode(text) || '\\x{b:02X}\\x00\\x00\\x00\\x00\\x00\\x00\\x00'::BLOB), 1, 16)" for b in range(8))
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_transform(range(0, 64), lambda i: ('0x' || substr(hex, (2 * i + 1)::BIGINT, 2))::INT / 127.5 - 1) AS v FROM (SELECT doc_id, {_BLOCKS} AS hex FROM documents)),
+n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM h) SELECT doc_id, unnest(range(0, 64))::INT AS i, round((unnest(v) / norm)::FLOAT::DOUBLE, 4) AS value FROM n""")
 def embed_local_hash(spark, t):
-    return t("documents").select("doc_id", corpus.local_hash_embedding(F.col("text")).alias("embedding"))
+    rows = t("documents").select("doc_id", F.posexplode(corpus.local_hash_embedding(F.col("text"))).alias("i", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT 'edition' AS kind UNION ALL SELECT DISTINCT ON (conv_id) 'group' FROM conversations UNION ALL SELECT 'unit' FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY kind UNION ALL SELECT 'CONTAINS', (SELECT count(DISTINCT conv_id) FROM conversations) + (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations))")
+@query("""SELECT 'edition' AS kind, NULL AS src, 'e' AS node UNION ALL SELECT DISTINCT 'group', NULL, 'e:' || conv_id FROM conversations UNION ALL SELECT DISTINCT 'unit', NULL, 'e:' || conv_id || ':' || turn FROM conversations
+UNION ALL SELECT DISTINCT 'CONTAINS', 'e', 'e:' || conv_id FROM conversations UNION ALL SELECT DISTINCT 'CONTAINS', 'e:' || conv_id, 'e:' || conv_id || ':' || turn FROM conversations""")
 def graph_projection(spark, t):
     nodes, edges = corpus.structural_projection(t("conversations"), "e", "conv_id", "turn")
-    count = F.count(F.lit(1)).alias("n")
-    return nodes.groupBy("kind").agg(count).unionByName(edges.groupBy(F.col("edge").alias("kind")).agg(count))
+    return nodes.select("kind", F.lit(None).cast("string").alias("src"), "node").unionByName(edges.select(F.col("edge").alias("kind"), "src", F.col("dst").alias("node")))
 
 
-@query("SELECT edge, count(*) AS n FROM (SELECT DISTINCT 'HAS' AS edge, p_partkey, p_brand FROM part) GROUP BY edge UNION ALL SELECT 'SAME', count(*) - count(DISTINCT p_brand) FROM part")
+@query("SELECT DISTINCT p_partkey::VARCHAR AS src, 'HAS' AS edge, p_brand AS dst FROM part UNION ALL SELECT p_partkey::VARCHAR, 'SAME', nxt FROM (SELECT p_partkey, lead(p_partkey::VARCHAR) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) WHERE nxt IS NOT NULL")
 def graph_value_chain(spark, t):
     parts = t("part").select(F.col("p_partkey").cast("string").alias("token"), "p_brand", "p_partkey")
-    return corpus.value_projection(parts, "token", "p_brand", "HAS", "SAME", ["p_partkey"]).groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.value_projection(parts, "token", "p_brand", "HAS", "SAME", ["p_partkey"])
 
 
 @query("SELECT source, CASE WHEN source = 'src3' THEN 'tombstoned' WHEN source = 'src4' THEN 'deactivated' ELSE 'active' END AS status, count(*) AS n FROM documents GROUP BY source")
