@@ -69,7 +69,7 @@ def test_similarity_and_bands(spark):
     ).first()
     assert row["zero"] == 0 and abs(row["one"] - 1) < 1e-12 and row["band"] == "medium"
     assert row["redacted"] == "password=[REDACTED] x https://[REDACTED]@h/"
-    assert row["html"] == '<a href="y">z</a>' and row["snippet"] == "é" * 100 + "..."
+    assert row["html"] == '<a href="y">z</a>' and row["snippet"] == "é" * 50 + "..."
 
 
 def test_highlight(spark):
@@ -82,3 +82,26 @@ def test_forms_and_fnv(spark):
     rows = spark.createDataFrame([("e\u0301",), ("abc",), (None,)], "t string")
     got = [tuple(r) for r in rows.select(scalar.unicode_forms(F.col("t")), scalar.fnv1a(F.col("t"))).collect()]
     assert got[0][0] == "NFD,NFKD" and got[1] == ("NFC,NFD,NFKC,NFKD", "e71fa2190541574b") and got[2] == (None, None)
+
+
+def test_chains_equal_their_rules(spark):
+    texts = ["", "plain  ascii\ttext ", "\u00a0caf\u00e9\u0085 x", "e\u0301 \u200f\u06d6a", "\u0622\u0640\u064b\u0671 \u06a9\u06cc \u06f3", "\ufef7 a,b.c", None, "aaa\u0301\u0301"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    for name, rules in normalize.PROFILES.items():
+        step = F.col("t")
+        for one in rules:
+            step = normalize.rule(one, step)
+        got = rows.select("k", normalize.profile(name, F.col("t")).alias("a"), step.alias("b")).filter("NOT a <=> b").collect()
+        assert not got, (name, got)
+        assert all(spans.forward(rules, x)[0] == r["a"] for x, r in zip(texts, rows.orderBy("k").select(normalize.profile(name, F.col("t")).alias("a")).collect(), strict=True) if x is not None and name != "L7.affix")
+
+
+def test_span_maps_compose(spark):
+    row = spark.createDataFrame([("a b\u0640c",)], "t string").select(spans.span_map(("N02",), F.col("t")).alias("first"))
+    row = row.select("first", spans.span_map(("N17",), F.col("first.text")).alias("second")).select(spans.compose(F.col("first"), F.col("second")).alias("c"), spans.span_segments(F.col("second")).alias("s")).first()
+    assert row["c"]["text"] == "abc" and row["c"]["forward"] == [0, 2, 4] and [tuple(x) for x in row["s"]] == [(0, 1, 0), (1, 3, 2)]
+
+
+def test_graphemes(spark):
+    row = spark.createDataFrame([("e\u0301x\U0001f1e9\U0001f1ea",)], "t string").select(F.size(scalar.graphemes(F.col("t"))).alias("n"), scalar.grapheme_to_char(F.col("t"), F.lit(2)).alias("at")).first()
+    assert (row["n"], row["at"]) == (3, 3)

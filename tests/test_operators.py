@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import counting, graph, joins, ledger, quality, retrieval, search
+from textloom.functions import text as scalar
+from textloom.operators import counting, graph, index, joins, ledger, quality, retrieval, review, search
 
 
 def rows_of(df):
@@ -111,7 +112,112 @@ def test_graph_against_brute_force(spark):
 def test_graph_visibility(spark):
     edges = spark.createDataFrame([("a", "E", "b", None), ("b", "E", "c", "x"), ("c", "E", "d", "y"), ("d", "E", "e", "z")], "src string, edge string, dst string, assertion_id string")
     assertions = spark.createDataFrame([("x", "accepted"), ("y", "rejected")], "id string, decision string")
-    assert sorted(r["dst"] for r in graph.visible(edges, assertions).collect()) == ["b", "c"]
+    assert sorted(r["dst"] for r in graph.visible(edges, assertions).collect()) == ["b", "c", "e"]
+    assert sorted(r["dst"] for r in graph.visible(edges, assertions, ["x", "z"]).collect()) == ["b", "c"]
+    assert sorted(r["dst"] for r in graph.visible(edges, assertions, []).collect()) == ["b"]
+
+
+def test_budgets_bind_and_say_so(spark):
+    edges = spark.createDataFrame([("a", "E", f"b{k:02d}") for k in range(20)] + [(f"b{k:02d}", "E", f"c{k:02d}") for k in range(20)], "src string, edge string, dst string")
+    assert graph.bounded(edges, "a", 2, graph.Budget(nodes=100), "out").reason is None
+    cut = graph.bounded(edges, "a", 2, graph.Budget(edges=5), "out")
+    assert cut.truncated and "edges" in cut.reason and cut.nodes.count() == 6 and cut.edges.count() == 5
+    assert "hops" in graph.bounded(edges, "a", 3, graph.Budget(hops=1), "out").reason
+    for bad in ({"hops": 0}, {"hops": 33}, {"paths": 1001}, {"fanout": 10_001}):
+        with pytest.raises(ValueError):
+            graph.Budget(**bad)
+    with pytest.raises(KeyError):
+        graph.resolve(edges.select(F.col("src").alias("node")), "zz")
+    with pytest.raises(ValueError):
+        graph.pattern(edges, edges.select(F.col("src").alias("node")), [("E", "out")], graph.VOCABULARY)
+    with pytest.raises(ValueError):
+        graph.pattern(edges, edges, "MATCH (a)")
+
+
+def test_paths_are_explained(spark):
+    edges = spark.createDataFrame([("a", "NEXT", "b", None), ("c", "CITES", "b", "x"), ("c", "CITES", "d", "y")], "src string, edge string, dst string, assertion_id string")
+    assertions = spark.createDataFrame([("x", "me", 0.5)], "id string, reviewer string, confidence double")
+    got = [(r["step"], r["edge"], r["provenance"]) for r in graph.explain_path(["a", "b", "c", "d"], edges, assertions).collect()]
+    assert got == [(0, "NEXT", "structural"), (1, "CITES", "assertion"), (2, "CITES", "missing")]
+
+
+def test_identities_and_lineage_find_circles(spark):
+    narrators = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    with pytest.raises(ValueError):
+        review.identities(narrators, spark.createDataFrame([(1, 2), (2, 1)], "id int, superseded_by int"))
+    diamond = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], "child string, parent string")
+    assert sorted((r["source"], r["depth"]) for r in review.lineage(diamond, "a").collect()) == [("b", 1), ("c", 1), ("d", 2), ("d", 2)]
+    with pytest.raises(ValueError):
+        review.lineage(diamond.union(spark.createDataFrame([("d", "a")], "child string, parent string")), "a")
+
+
+def test_index_queries_equal_scans(spark, tmp_path):
+    texts = ["The cat of the house", "", None, "of the of the of", "cat  house", "THE the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = index.TextIndex.at(spark, str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        one.forms()
+    one.build(docs)
+    words = scalar.tokens(F.lower(F.coalesce("text", F.lit(""))))
+    some = (
+        search.Term("the"), search.Term(" "), search.Phrase(("of", "the", "of")), search.Phrase(("the", "the")), search.All(), search.Bool(must=(search.Term("the"),), must_not=(search.Term("cat"), search.Term(""))),
+        search.Bool(should=(search.Term("cat"), search.Phrase(("of", "the")))), search.Bool(must=(search.All(),), should=(search.Term("cat"),)),
+    )
+    for query in some:
+        assert rows_of(one.ids(query)) == rows_of(docs.filter(search.predicate(query, words)).select("doc_id")), query
+    for terms, ordered in ((["of", "the"], True), (["the", "of"], False)):
+        plain = (search.near if ordered else search.unordered_near)(docs, terms, 1)
+        assert rows_of(one.near(terms, 1, ordered)) == rows_of(plain)
+    scores = lambda rows: {r["doc_id"]: round(r["score"], 9) for r in rows.collect()}
+    assert scores(one.bm25(["the", "cat"])) == scores(search.bm25(docs, ["the", "cat"]))
+    page, total, more = one.search(search.Term("the"), 1)
+    assert (page.count(), total, more) == (1, 3, True)
+    for bad in (search.Bool(must_not=(search.Term("x"),)), search.Bool(must=(search.Range("size", 1),))):
+        with pytest.raises(ValueError):
+            one.ids(bad)
+    for bad in (".*x", "x" * 600):
+        with pytest.raises(ValueError):
+            one.regex(bad)
+
+
+def test_index_that_fails_is_not_published(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    one = index.TextIndex.at(spark, str(tmp_path / "i"))
+    one.build(docs)
+    monkeypatch.setattr(index.TextIndex, "verify", lambda self, docs, g=None: spark.createDataFrame([("lost", "1", "a")], "problem string, id string, token string"))
+    with pytest.raises(ValueError):
+        one.build(docs)
+    assert one.generations.pointer.current() == 1 and one.generations.builds() == [1, 2]
+
+
+def test_rate_limits():
+    limiter = search.RateLimiter(2, 60)
+    assert [limiter.allow("a", t) for t in (0, 1, 2, 60.5, 61.5)] == [True, True, False, True, True] and limiter.allow("b", 2)
+    with pytest.raises(PermissionError):
+        search.guarded_regex(None, "x", "a", limiter, 0, ["b"])
+
+
+def test_near_passages_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(6)]
+    texts = []
+    for k in range(60):
+        x = list(base[k % 6])
+        for _ in range(rng.randint(0, 6)):
+            x[rng.randrange(120)] = rng.choice("xyz")
+        texts.append("".join(x))
+    texts += ["", "ab", "a b", texts[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    skeleton = [x.replace(" ", "") for x in texts]
+    grams = [{s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in skeleton]
+    first = {s: skeleton.index(s) for s in skeleton if s}
+    reps = sorted(first.values())
+    want = sorted((a, b) for a in reps for b in reps if a < b and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b]))
+    got = sorted((r["low"], r["high"]) for r in joins.near_passages(rows, "id", "text", 0.7, slots=0).collect())
+    assert got == want and got
+    assert {(r["id"], r["representative"]) for r in joins.passage_classes(rows, "id", "text").collect()} == {(k, first[s]) for k, s in enumerate(skeleton) if s}
 
 
 def test_range_join_and_context(spark):
@@ -142,9 +248,25 @@ def test_rrf(spark):
         retrieval.federate({}, ["none"])
 
 
-def test_validation_rules(spark):
-    rows = spark.createDataFrame([("s", 0, "x"), ("s", 1, " "), ("s", 3, "x"), ("t", 0, "﻿y")], "g string, o long, text string")
-    assert sorted((r["rule"], r["location"]) for r in quality.validate_texts(rows, "g", "o", "text").collect()) == [("QV-005", "s:3"), ("QV-006", "s:1"), ("QV-008", "t:0"), ("QV-022", "s:0")]
+def test_a_clean_edition_has_no_errors(spark):
+    edition = spark.createDataFrame([("ar", 1, 2, "NFC", "per_surah")], "language string, surah_count int, ayah_count int, unicode_normalization string, basmala_policy string")
+    surahs = spark.createDataFrame([(1, 2, "mecca", "none")], "number int, ayah_count int, revelation_place string, basmala string")
+    schema = "line int, surah int, ayah int, text string, juz int, hizb int, rub int, manzil int, page int, sajdah string"
+    clean = [(0, 1, 1, "بسم", 1, 1, 1, 1, 1, None), (1, 1, 2, "الله", 1, 1, 1, 1, 1, None)]
+    assert quality.validate_edition(edition, surahs, spark.createDataFrame(clean, schema)).count() == 0
+    shifted = [(*x[:2], x[2] - 1, *x[3:]) for x in clean]  # numbers that begin at 0
+    assert [r["rule"] for r in quality.validate_edition(edition, surahs, spark.createDataFrame(shifted, schema)).collect()] == ["QV-005"]
+    turned = [(1 - x[0], *x[1:]) for x in clean]
+    assert [r["rule"] for r in quality.validate_edition(edition, surahs, spark.createDataFrame(turned, schema)).collect()] == ["QV-023"]
+    assert quality.validate_edition(edition, surahs, spark.createDataFrame([], schema)).filter("rule IN ('QV-003', 'QV-004')").count() == 2
+
+
+def test_previous_rows_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else k * 10) for k in range(30)], "line int, v int")
+    got = {r["line"]: r["before"] and r["before"]["v"] for r in quality.with_previous(rows, "line", ["v"]).collect()}
+    known = [k for k in range(30) if k % 5]
+    assert got == {k: (known[i - 1] * 10 if i else None) for i, k in enumerate(known)}
 
 
 def test_ledgers(spark):
@@ -172,10 +294,11 @@ def test_signatures_of_documents(spark, tmp_path):
 
     texts = ["the cat sat on the mat", "abc", "ab" * 2000, "Ünï cödé"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {name: rows_of(registry.queries()[name](spark, str(tmp_path))) for name in ("minhash64_documents", "trigrams_documents", "shingles_documents")}
+    got = {name: rows_of(registry.queries()[name](spark, str(tmp_path))) for name in ("minhash64_documents", "tok_trigrams", "tok_shingles")}
     sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in texts]
     grams = [sorted({x[k : k + 3] for k in range(len(x) - 2)}) for x in texts]
     least = lambda g, slot: min(hashlib.sha256(f"{slot}:{x}".encode()).hexdigest()[:16] for x in g)
+    digest = lambda g: hashlib.sha256("|".join(sorted(g)).encode()).hexdigest()
     assert got["minhash64_documents"] == sorted(((d, k, least(g, k)) for d, g in enumerate(sets) for k in range(64)), key=str)
-    assert got["shingles_documents"] == [(d, len(g)) for d, g in enumerate(sets)]
-    assert got["trigrams_documents"] == sorted(((d, len(g), hashlib.sha256("|".join(g).encode()).hexdigest()) for d, g in enumerate(grams)), key=str)
+    assert got["tok_shingles"] == sorted(((d, len(g), digest(g)) for d, g in enumerate(sets)), key=str)
+    assert got["tok_trigrams"] == sorted(((d, len(g), digest(g)) for d, g in enumerate(grams)), key=str)

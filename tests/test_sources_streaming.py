@@ -29,6 +29,37 @@ def test_readers(spark, tmp_path):
         readers.read(spark, "none", "x")
 
 
+def test_files_that_break_their_format(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("one\n\ntwo\n")
+    assert [tuple(r) for r in readers.plain_lines(spark, str(tmp_path / "p.txt")).orderBy("line").collect()] == [(0, "one"), (2, "two")]
+    (tmp_path / "e.json").write_text(json.dumps({"format": "other", "format_version": 1}))
+    with pytest.raises(ValueError):
+        readers.edition_json(spark, str(tmp_path / "e.json"))
+    for name, text in {"a": '1|1|x\n{\n"name": "b"}', "c": "1|1|x", "d": '1|2|x\n1|1|y\n{\n"name": "d"}', "f": '115|1|x\n{\n"name": "f"}'}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+        with pytest.raises(ValueError):
+            readers.chapter_verse(spark, str(tmp_path / f"{name}.txt"))
+    (tmp_path / "g.json").write_text(json.dumps({"nolanguage": {"name": "x", "direction": "rtl"}}))
+    with pytest.raises(ValueError):
+        readers.catalog_json(spark, str(tmp_path / "g.json"))
+    units = spark.createDataFrame([(1, 1)], "s int, a int")
+    for passages, translator in ((units, " "), (spark.createDataFrame([(1, 2)], "s int, a int"), "me")):
+        with pytest.raises(ValueError):
+            readers.aligned(passages, units, ["s", "a"], translator)
+    assert readers.manifest_hash({"b": 1, "a": [2], "signature": "s"}) == readers.manifest_hash({"a": [2], "b": 1})
+
+
+def test_of_two_publishers_one_wins(spark, tmp_path):
+    a, b = (store.Pointer(spark, str(tmp_path / "p")) for _ in range(2))
+    seen = len(a.log()), len(b.log())
+    a.point(7, seen[0])
+    with pytest.raises(RuntimeError):
+        b.point(8, seen[1])
+    assert b.current() == 7
+    b.point(9)
+    assert a.log() == [(0, 7, None), (1, 9, 7)] and a.rollback() == 7
+
+
 def test_generations(spark, tmp_path):
     table = store.VersionedTable(spark, str(tmp_path / "t"))
     assert table.current() is None
@@ -77,3 +108,16 @@ def test_relay_delivers_each_event_once(spark, event_folder, tmp_path):
         streams.relay(streams.source(spark, event_folder, schema), lambda rows: rows.select("event_id").write.mode("append").parquet(out), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == got.distinct().count() == spark.read.parquet(event_folder).count()
+
+
+def test_leases_and_late_duplicates(spark, event_folder):
+    schema = spark.read.parquet(event_folder).schema
+    events = lambda: streams.source(spark, event_folder, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    q = streams.leases(events(), 3600).writeStream.format("memory").queryName("out_leases").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("out_leases").filter("n <= 0").count() == 0
+    twice = events().unionByName(events())
+    q = streams.deduplicated(twice, ["event_id"], "400 days").writeStream.format("memory").queryName("out_once").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("out_once")
+    assert got.count() == got.select("event_id").distinct().count() == spark.read.parquet(event_folder).count()

@@ -69,22 +69,23 @@ PROFILES["L7.affix"] = (*PROFILES["L5.codepoints"], "N18", "N19", "N20", "N21")
 PROFILES["L8.fuzzy"] = PROFILES["L5.codepoints"]
 
 
-#: Rules that leave texts of ASCII alone as they are.
-BEYOND_ASCII = frozenset(("N02", "N03", "N04", "N05", "N06", "N07", "N08", "N09", "N10", "N11", "N13", "N14", "N15", "N16", "N18", "N19", "N20", "N21"))
+#: Rules that leave texts without a character from U+0300 on as they are.
+BEYOND = frozenset(("N02", "N03", "N04", "N05", "N06", "N07", "N08", "N09", "N10", "N11", "N13", "N14", "N15", "N16", "N18", "N19", "N20", "N21"))
 _DELETIONS = frozenset(("N02", "N03", "N04", "N05", "N11", "N12", "N14", "N17"))
 
 
-def is_ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
+def reaches(text: Column) -> Column:
+    """Whether a text holds a character from U+0300 on: below, no mark, sign or letter that the rules know, and all is NFC."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(r"[^\x{00}-\x{2FF}]")
 
 
-def _nfc(text: Column) -> Column:
+def _nfc(text: Column, needed: Column | None = None) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
-    # Python gets null where nothing below U+0300 can change
-    asked = F.when(~is_ascii(text) & text.rlike(r"[^\x{00}-\x{2FF}]"), text)
-    return F.coalesce(F.pandas_udf(run, StringType())(asked), text)
+    # Python gets null where nothing can change; the test is on what the text was made of, so that the text is named once
+    needed = reaches(text) if needed is None else needed
+    return F.when(needed, F.pandas_udf(run, StringType())(F.when(needed, text))).otherwise(text)
 
 
 def rule(rule_id: str, text: Column) -> Column:
@@ -109,7 +110,7 @@ def composed(rule_ids: list[str]) -> tuple[str, str]:
     return "".join(kept) + "".join(x for x in table if not table[x]), "".join(table[x] for x in kept)
 
 
-def _chain(rule_ids: list[str], text: Column) -> Column:
+def _chain(rule_ids: list[str], text: Column, needed: Column) -> Column:
     at = 0
     while at < len(rule_ids):
         family = _DELETIONS if rule_ids[at] in _DELETIONS else MAPS if rule_ids[at] in MAPS else ()
@@ -117,7 +118,9 @@ def _chain(rule_ids: list[str], text: Column) -> Column:
         while upto < len(rule_ids) and rule_ids[upto] in family:
             upto += 1
         some = rule_ids[at:upto]
-        if upto == at + 1:
+        if some == ["N16"]:
+            text = _nfc(text, needed)
+        elif upto == at + 1:
             text = rule(some[0], text)
         elif family is _DELETIONS:
             inner = "".join(pattern.strip("[]") if pattern[0] == "[" else pattern for one in some for pattern, _ in PATTERNS[one])
@@ -129,17 +132,17 @@ def _chain(rule_ids: list[str], text: Column) -> Column:
 
 
 def pipeline(rule_ids: tuple[str, ...] | list[str], text: Column) -> Column:
-    """The rules in turn. White space of ASCII needs no Unicode class, and most rules cannot touch a text of ASCII alone."""
-    rule_ids = list(rule_ids)
-    if not BEYOND_ASCII.intersection(rule_ids):
-        return _chain(rule_ids, text)
+    """The rules in turn. A text that holds nothing from U+0300 on takes only the rules that can touch it."""
+    rule_ids, needed = list(rule_ids), reaches(text)
+    if not BEYOND.intersection(rule_ids):
+        return _chain(rule_ids, text, needed)
     short = text
     for one in rule_ids:
         if one == "N01":
-            short = F.trim(F.regexp_replace(short, r"[\x{09}-\x{0D} ]+", " "))
-        elif one not in BEYOND_ASCII:
+            short = F.trim(F.regexp_replace(short, r"[\x{09}-\x{0D} \x{85}\x{A0}]+", " "))
+        elif one not in BEYOND:
             short = rule(one, short)
-    return F.when(is_ascii(text), short).otherwise(_chain(rule_ids, text))
+    return F.when(needed, _chain(rule_ids, text, needed)).otherwise(short)
 
 
 def profile(name: str, text: Column) -> Column:

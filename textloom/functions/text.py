@@ -38,9 +38,8 @@ def reconstruct(words: Column, gaps: Column) -> Column:
 
 
 def character_ngrams(text: Column, n: int) -> Column:
-    """Sorted distinct n-grams of characters; empty for shorter texts."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n))
-    return F.when(F.length(text) >= n, F.array_sort(F.array_distinct(grams))).otherwise(F.array().cast("array<string>"))
+    """Sorted distinct n-grams of characters; empty for shorter texts. One pass over a text, however long."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)))
 
 
 def trigrams(text: Column) -> Column:

@@ -11,11 +11,13 @@ to counts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom import runtime
 from textloom.functions import normalize, text as scalar
@@ -30,7 +32,12 @@ ALL, EVERY = 2000, 16
 
 
 def bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(token) % BUCKETS).cast("int")
+
+
+def buckets_of(tokens: Sequence[str]) -> list[int]:
+    """The same on the driver, for the tokens of a query."""
+    return sorted({zlib.crc32(t.encode()) % BUCKETS for t in tokens})
 
 
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -45,6 +52,7 @@ class Generations:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder, self.pointer = spark, folder.rstrip("/"), Pointer(spark, f"{folder.rstrip('/')}/pointer")
+        self._open: dict[str, DataFrame] = {}
 
     def path(self, part: str, generation: int | None = None) -> str:
         generation = self.pointer.current() if generation is None else generation
@@ -53,7 +61,11 @@ class Generations:
         return f"{self.folder}/generation={generation}/{part}"
 
     def read(self, part: str, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.path(part, generation))
+        """A part of a generation, which never changes: its files are listed once."""
+        path = self.path(part, generation)
+        if path not in self._open:
+            self._open[path] = self.spark.read.parquet(path)
+        return self._open[path]
 
     def builds(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -146,8 +158,7 @@ class TextIndex:
     def posted(self, tokens: Sequence[str]) -> DataFrame:
         """The postings of the given tokens, from their buckets only."""
         tokens = list(dict.fromkeys(tokens))
-        one = self.generations.spark.range(1).select(*(bucket(F.lit(t)).alias(f"b{k}") for k, t in enumerate(tokens))).first() if tokens else ()
-        return self.generations.read("postings").filter(F.col("bucket").isin([int(b) for b in set(one)]) & F.col("token").isin(tokens))
+        return self.generations.read("postings").filter(F.col("bucket").isin(buckets_of(tokens)) & F.col("token").isin(tokens))
 
     def term(self, token: str) -> DataFrame:
         """Ids of the documents with the token; a blank token has none."""
@@ -209,13 +220,27 @@ class TextIndex:
         return search.page(hits, [F.col(self.key)], limit, offset), total, offset + limit < total
 
     def near(self, terms: Sequence[str], slop: int, ordered: bool = True) -> DataFrame:
-        """(id, start) as search.near or search.unordered_near find them, in the documents that hold all terms."""
+        """(id, start) as search.near or search.unordered_near find them; in order, by places alone, else in the documents that hold all terms."""
+        if ordered:
+            return self._near_places(terms, slop)
         held = None
         for token in dict.fromkeys(terms):
             one = self.term(token)
             held = one if held is None else held.join(one, self.key, "left_semi")
         texts = semi(self.forms().select(self.key, "words"), held, self.key)
-        return (search.near if ordered else search.unordered_near)(texts, terms, slop, self.key, "words")
+        return search.unordered_near(texts, terms, slop, self.key, "words")
+
+    def _near_places(self, terms: Sequence[str], slop: int) -> DataFrame:
+        """Ordered near matches: from each place of the first term, each next term at its nearest place after the last, found in one pass back over the places of a document."""
+        places = self.posted(terms).select(self.key, "token", "pos")
+        rows = places.filter(F.col("token") == terms[0]).select(self.key, F.col("pos").alias("start"), F.col("pos").alias("at"))
+        nothing = F.lit(None).cast("int")
+        back = Window.partitionBy(self.key).orderBy(F.desc("at"), F.desc(F.col("start").isNotNull())).rowsBetween(Window.unboundedPreceding, -1)
+        for term in terms[1:]:
+            ahead = places.filter(F.col("token") == term).select(self.key, nothing.alias("start"), F.col("pos").alias("at"), F.col("pos").alias("next"))
+            met = rows.select(self.key, "start", "at", nothing.alias("next")).unionByName(ahead).withColumn("next", F.last("next", ignorenulls=True).over(back))
+            rows = met.filter("start IS NOT NULL").filter(F.col("next") - F.col("at") <= slop + 1).select(self.key, "start", F.col("next").alias("at"))
+        return rows.select(self.key, "start")
 
     def expand(self, pattern: str) -> list[str]:
         """The tokens that a pattern matches; an error beyond search.MAX_EXPANSION."""
@@ -248,6 +273,14 @@ class TextIndex:
         """(by, n): how often the token occurs; `by` is one of the meta columns."""
         return self.posted([token]).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
+    def term_counts(self, token: str) -> DataFrame:
+        """(id, n) of the documents with the token."""
+        return self.posted([token]).groupBy(self.key).agg(F.count(F.lit(1)).alias("n"))
+
+    def hapax(self) -> DataFrame:
+        """Tokens that occur once."""
+        return self.vocabulary().filter("n = 1").select("token")
+
     def cooccurrence(self, token: str, radius: int) -> DataFrame:
         """(token, n) of the other tokens within radius of each occurrence in the same text."""
         from textloom.operators import counting
@@ -309,8 +342,7 @@ class SkeletonIndex:
         key = [self.group, "first", "last"]
         if not wanted:
             return self.skeletons().select(*key)
-        one = self.generations.spark.range(1).select(*(bucket(F.lit(t)).alias(f"b{k}") for k, t in enumerate(wanted))).first()
-        held = self.generations.read("trigrams").filter(F.col("bucket").isin([int(b) for b in set(one)]) & F.col("gram").isin(wanted))
+        held = self.generations.read("trigrams").filter(F.col("bucket").isin(buckets_of(wanted)) & F.col("gram").isin(wanted))
         return held.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == len(wanted)).select(*key)
 
     def search(self, query: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -188,7 +189,7 @@ def multiset_dice(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str,
     schema = StructType([asked.schema["d"], items.schema[item_id], *StructType.fromDDL("shared long, score double")])
     out = None
     for part in _item_parts(items.select(item_id, scalar.tokens(F.coalesce(form, F.lit(""))).alias("w"))):
-        found = asked.mapInArrow(_dice(docs.sparkSession.sparkContext.broadcast(part), threshold), schema)
+        found = asked.mapInArrow(_dice(docs.sparkSession.sparkContext.broadcast(part), threshold, to_arrow_type(kind)), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -223,9 +224,10 @@ def _postings(ids: list, words: list[list[str]]) -> tuple:
     return ids, lengths, flat.dictionary, first, item, count
 
 
-def _dice(shared, threshold: float):
+def _dice(shared, threshold: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, vocabulary, first, item, count = shared.value
+        named = pa.array(ids, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -245,8 +247,8 @@ def _dice(shared, threshold: float):
                 d, i, o = hit // len(ids), hit % len(ids), overlap[hit]
                 score = 2 * o / (n[d] + lengths[i])
                 good = score >= threshold
-                taken = pa.array(np.asarray(ids, object)[i[good]].tolist())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(d[good])), taken, pa.array(o[good]), pa.array(score[good])], ["d", "i", "shared", "score"])
+                columns = [some.column(0).take(pa.array(d[good])), named.take(pa.array(i[good])), pa.array(o[good]), pa.array(score[good])]
+                yield pa.RecordBatch.from_arrays(columns, ["d", "i", "shared", "score"])
 
     return run
 
@@ -269,15 +271,17 @@ def near_passages(rows: DataFrame, key: str, text: str, threshold: float, k: int
     reps = runtime.stored(reps.withColumn("grams", scalar.shingles(F.col("skeleton"), k)).select("id", "grams", F.size("grams").alias("n")), "passages")
     grams = reps.select("id", "n", F.explode("grams").alias("gram")).select("id", "n", F.xxhash64("gram").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    # a shingle of one passage comes first and pairs with nothing
-    rare = grams.join(counts, "gram", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    # shingles of one passage come first and pair with nothing: only their number counts
+    shared = grams.join(counts, "gram").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("id")))
     order = Window.partitionBy("id").orderBy("c", "gram")
-    prefix = rare.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).filter("c > 1").select("gram", "id", "n", "pos")
+    prefix = shared.withColumn("pos", F.col("n") - F.col("k") + F.row_number().over(order)).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("gram", "id", "n", "pos")
     other = prefix.select("gram", F.col("id").alias("high"), F.col("n").alias("nh"), F.col("pos").alias("ph"))
     met = prefix.select("gram", F.col("id").alias("low"), F.col("n").alias("nl"), F.col("pos").alias("pl")).join(other, "gram").filter("low < high")
     reach = 1 + F.least(F.col("nl") - F.col("pl"), F.col("nh") - F.col("ph"))
-    met = met.filter((F.least("nl", "nh") >= threshold * F.greatest("nl", "nh")) & (reach * (1 + threshold) >= threshold * (F.col("nl") + F.col("nh"))))
-    pairs = met.select("low", "high").distinct()
+    met = met.filter(F.least("nl", "nh") >= threshold * F.greatest("nl", "nh")).withColumn("far", reach * (1 + threshold) >= threshold * (F.col("nl") + F.col("nh")) - 1e-9)
+    # of the overlap that the sizes need, what the longer prefix leaves out is bounded, so the prefixes share the rest
+    needed = F.ceil((F.col("nl") + F.col("nh")) * (threshold / (1 + threshold)) - 1e-9) - F.ceil(F.greatest("nl", "nh") * threshold) + 1
+    pairs = met.groupBy("low", "high", "nl", "nh").agg(F.count(F.lit(1)).alias("met"), F.max("far").alias("far")).filter((F.col("met") >= needed) & F.col("far")).select("low", "high")
     a, b = reps.select(F.col("id").alias("low"), F.col("grams").alias("ga")), reps.select(F.col("id").alias("high"), F.col("grams").alias("gb"))
     found = pairs.join(a, "low").join(b, "high").withColumn("jaccard", scalar.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("jaccard") >= threshold)
     found = runtime.stored(found.select("low", "high", "jaccard"), "near-passages")

@@ -258,7 +258,7 @@ _PASSAGES = f"""k AS (SELECT doc_id, {normalize.sql(normalize.PROFILES['L6.skele
 c AS (SELECT s, min(doc_id) AS id FROM k WHERE s <> '' GROUP BY s),
 g AS (SELECT id, list_sort(list_distinct(CASE WHEN length(s) < 5 THEN [s] ELSE list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)) END)) AS g FROM c),
 u AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM g),
-r AS (SELECT gram FROM u GROUP BY gram HAVING count(*) <= 40),
+r AS (SELECT gram FROM u GROUP BY gram HAVING count(*) <= 12),
 b AS (SELECT DISTINCT x.id AS low, y.id AS high FROM u x JOIN r USING (gram) JOIN u y USING (gram) WHERE x.id < y.id)"""
 
 

@@ -66,18 +66,19 @@ def norm_dedupe(spark, t):
 _ARABIC = [
     (1, "بِسْمِ ٱللَّهِ ٱلرَّحْمَٰنِ"), (2, "أَإِآؤئء مَلَكُوت"), (3, "كتـــاب  ۖ قُلۡ"), (4, "ﻻ ﻷ ﻹ ﻵ"), (5, "۱۲۳ ٤٥٦ گی ۀہ"), (6, "﻿‏مدرسة على"), (7, ""), (8, "éà  x"),
 ]
-_ARABIC_SQL = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _ARABIC) + ") AS a(id, text)"
+_ROWS_SQL = "(SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-k}, '{v}')" for k, v in _ARABIC) + ") AS a(id, text))"
 
 
 def _all_profiles_sql() -> str:
-    parts = [f"SELECT id, '{name}' AS profile, {normalize.sql(rules, 'text')} AS form FROM {_ARABIC_SQL}" for name, rules in normalize.PROFILES.items() if name != "L7.affix"]
+    parts = [f"SELECT id, '{name}' AS profile, sha256({normalize.sql(rules, 'text')}) AS form FROM {_ROWS_SQL}" for name, rules in normalize.PROFILES.items() if name != "L7.affix"]
     return " UNION ALL ".join(parts)
 
 
 @query(_all_profiles_sql())
 def norm_profiles(spark, t):
-    rows = spark.createDataFrame(_ARABIC, "id int, text string")
-    forms = F.array(*(F.struct(F.lit(n).alias("profile"), normalize.profile(n, F.col("text")).alias("form")) for n in normalize.PROFILES if n != "L7.affix"))
+    """All documents, and some words of the script that the rules are made for."""
+    rows = t("documents").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame([(-k, v) for k, v in _ARABIC], "id long, text string"))
+    forms = F.array(*(F.struct(F.lit(n).alias("profile"), F.sha2(normalize.profile(n, F.col("text")), 256).alias("form")) for n in normalize.PROFILES if n != "L7.affix"))
     return rows.select("id", F.explode(forms).alias("f")).select("id", "f.*")
 
 
@@ -197,12 +198,12 @@ def count_distribution(spark, t):
 
 @query(f"SELECT token FROM (SELECT unnest(w) AS token FROM {_W}) GROUP BY token HAVING count(*) = 1")
 def count_hapax(spark, t):
-    return counting.hapax(counting.token_stream(t("documents"), [], F.lower("text")))
+    return t.text().hapax()
 
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM {_W}) GROUP BY token ORDER BY n DESC, token LIMIT 100")
 def count_forms_top(spark, t):
-    return counting.forms(counting.token_stream(t("documents"), [], F.lower("text"))).orderBy(F.desc("n"), "token").limit(100)
+    return t.text().vocabulary().select("token", "n").orderBy(F.desc("n"), "token").limit(100)
 
 
 @query(f"""WITH h AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'heed')) AS n FROM {_W}), b AS (SELECT min(doc_id) AS first, max(doc_id) AS last, sum(n)::BIGINT AS n FROM h WHERE n > 0)
@@ -374,7 +375,7 @@ l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank F
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM l) GROUP BY id""")
 def rrf_hybrid(spark, t):
     near = retrieval.vector_topk(t("embeddings"), _QUERY, 100).withColumnRenamed("vec_id", "id")
-    lexical = counting.term_counts(t("documents"), ["doc_id"], F.lower("text"), "the").filter("n > 0").withColumnRenamed("doc_id", "id")
+    lexical = t.text().term_counts("the").withColumnRenamed("doc_id", "id")
     fused = retrieval.rrf([retrieval.ranked(near, "id", "score", 100), retrieval.ranked(lexical, "id", "n", 100)], "id")
     return fused.select("id", F.round("score", 9).alias("score"))
 
