@@ -159,6 +159,11 @@ def explain(rule_ids: tuple[str, ...] | list[str], text: Column) -> Column:
     return F.array(*steps)
 
 
+def persian_hint(text: Column) -> Column:
+    """Whether folding Persian letters changes a text."""
+    return text != rule("N10", text)
+
+
 def rules_of(profile: str | list[str] | tuple[str, ...]) -> tuple[str, ...]:
     """The rules of a registered profile, or ad-hoc rules as they are."""
     if isinstance(profile, str):

@@ -117,3 +117,20 @@ def run_lengths(rows: DataFrame, group: str, order: str, value: str) -> DataFram
 
 def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def unusual_usage(target: str) -> tuple[str, str]:
+    """(status, reason): there is no such analysis, and no number is made up for it."""
+    return "unavailable", f"no analysis of unusual usage of {target!r} is defined"
+
+
+def single_source(analyses: DataFrame, token_key: list[str], value: str) -> tuple[DataFrame, int]:
+    """(votes of tokens with exactly one analysis, how many tokens have more and are left out)."""
+    several = analyses.groupBy(*token_key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return votes(analyses, token_key, value, "single_source"), several.count()
+
+
+def first_per_unit(tokens: DataFrame, unit: list[str], position: str, cap: int = 25) -> DataFrame:
+    """The first token of each unit, in the order of units, at most cap: how a family is listed."""
+    first = tokens.groupBy(*unit).agg(F.min(position).alias(position))
+    return first.orderBy(*unit).limit(cap)

@@ -11,6 +11,7 @@ to counts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -265,6 +266,23 @@ class TextIndex:
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
         return tf.join(known, "token").groupBy(self.key).agg(F.sum(part).alias("score"))
 
+    def phrase_ranked(self, text: str, active: DataFrame | None = None, limit: int = 20) -> DataFrame:
+        """(id, score) of the documents that hold a whole query as one phrase, best first; of the active ids only, where given.
+
+        A query of no token finds nothing. Where no document holds the phrase, those with all of its tokens are found instead, unranked.
+        """
+        tokens = [x for x in re.split(r"[\t-\r ]+", text.lower()) if x]
+        if not tokens:
+            return self.bm25([" "])
+        hits = self.phrase(tokens)
+        if hits.isEmpty():
+            hits = self.ids(search.Bool(must=tuple(map(search.Term, dict.fromkeys(tokens))))).select(self.key, F.lit(0.0).alias("score"))
+        else:
+            hits = self.bm25(tokens).join(hits, self.key, "left_semi")
+        if active is not None:
+            hits = hits.join(active.select(self.key), self.key, "left_semi")
+        return hits.orderBy(F.desc("score"), self.key).limit(min(max(limit, 1), search.MAX_LIMIT))
+
     def scan(self, term: str, mode: str = "substring") -> DataFrame:
         """The rows of forms that match, with `start`, the first place in the form."""
         return search.located(self.forms(), search.normalise_query(self.generations.spark, term, "L1.ws"), mode)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import runtime
-from textloom.functions import text as scalar
-from textloom.operators import corpus, doctor, graph, ledger, search
+from textloom.functions import normalize, spans, text as scalar
+from textloom.operators import corpus, counting, doctor, graph, joins, ledger, retrieval, search
 from textloom.plans.register import W as _W, query
 from textloom.plans.registry import _EDGES, _edges
 from textloom.sources import readers, store
@@ -284,3 +284,91 @@ def phrase_search_ranked(spark, t):
     """A whole query as one phrase over an index, with snippets."""
     hits = t.text().ids(search.Phrase(("of", "the")))
     return t("documents").join(hits, "doc_id", "left_semi").select("doc_id", scalar.snippet(F.col("text")).alias("snippet")).orderBy("doc_id").limit(1000)
+
+
+# ---- retrieval over sources, and small lookups ---------------------------------------------------------------------
+
+
+@query(f"""WITH a AS (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src5', 'src7')), c AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'of')) AS tf0, len(list_filter(w, lambda x: x = 'the')) AS tf1, contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS hit FROM {_W}),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum((tf0 > 0)::INT) AS df0, sum((tf1 > 0)::INT) AS df1 FROM c)
+SELECT doc_id, round(ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE hit AND doc_id IN (SELECT doc_id FROM a)""")
+def phrase_ranked(spark, t):
+    """A whole query as one phrase over the documents of active sources, by relevance."""
+    sources = t("documents").select("source").distinct().withColumn("status", F.when(F.col("source").isin("src1", "src2", "src5", "src7"), "active").otherwise("deactivated"))
+    active = retrieval.active(t("documents"), sources, "source").select("doc_id")
+    return t.text().phrase_ranked("Of  the", active, 1000).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND source = 'src1' ORDER BY quality DESC, doc_id LIMIT 15")
+def metadata_rerank(spark, t):
+    """Exact matches on a metadata map, reranked by a score."""
+    rows = t("documents").join(t("labels"), "doc_id").withColumn("metadata", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    kept = rows.filter(retrieval.metadata_equals(F.col("metadata"), {"lang": "en", "source": "src1"}))
+    return retrieval.rerank(kept, "quality", "doc_id", 15).select("doc_id")
+
+
+@query(f"SELECT doc_id, 'exact' AS kind, sha256({normalize.sql(normalize.PROFILES['L2.marks'], 'text')}) AS form FROM documents UNION ALL SELECT doc_id, 'normalised', sha256({normalize.sql(normalize.PROFILES['L5.codepoints'], 'text')}) FROM documents")
+def search_forms(spark, t):
+    return corpus.search_forms(t("documents"), "doc_id", "text").withColumn("form", F.sha2("form", 256))
+
+
+@query("SELECT c_custkey AS other FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_nationkey FROM customer WHERE c_custkey = 3 AND c_nationkey <> 3")
+def symmetric_lookup(spark, t):
+    return joins.symmetric(t("customer").select(F.col("c_nationkey").cast("long").alias("low"), F.col("c_custkey").cast("long").alias("high")), "low", "high", 3)
+
+
+@query("SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) AS jaccard FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS g FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS g FROM benchmark) b ON b.item_id = a.item_id + 1")
+def shingle_jaccard(spark, t):
+    items = t("benchmark").select("item_id", scalar.shingles(F.col("text"), 5).alias("a"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return items.join(after, "item_id").select("item_id", F.round(scalar.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+
+
+@query("SELECT o_custkey % 4 AS state, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL")
+def staging_orphans(spark, t):
+    """Staged rows whose import run is not active, by the state of the run."""
+    runs = t("customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 4).alias("state")).filter("o_custkey % 3 = 0")
+    return t("orders").join(runs, "o_custkey").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT unnest(['absent', 'present']) AS form, unnest([true, false]) AS missing")
+def missing_forms(spark, t):
+    docs = t("documents")
+    rows = [("absent", counting.missing(docs, F.lower("text"), "no-such-token-anywhere")), ("present", counting.missing(docs, F.lower("text"), "the"))]
+    return spark.createDataFrame(rows, "form string, missing boolean")
+
+
+@query("SELECT 2::INT AS hops, 4::INT AS far")
+def graph_min_hops(spark, t):
+    edges = _edges(t).filter("edge = 'CONTAINS' AND substring(dst, 1, 1) = 'n'")
+    both = t("nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("a"), F.max("n_nationkey").alias("b")).filter("a < b").orderBy("n_regionkey").limit(2).collect()
+    seed = spark.createDataFrame([(f"n{both[0]['a']}",)], "node string")
+    joined = edges.unionByName(spark.createDataFrame([("w", "CONTAINS", f"r{r['n_regionkey']}") for r in both], "src string, edge string, dst string"))
+    return spark.createDataFrame([(graph.min_hops(joined, seed, f"n{both[0]['b']}", 6), graph.min_hops(joined, seed, f"n{both[1]['a']}", 6))], "hops int, far int")
+
+
+@query("SELECT event_id, event_id % 5 < 3 AS private FROM events")
+def private_addresses(spark, t):
+    k = F.col("event_id") % 5
+    address = F.when(k == 0, F.concat(F.lit("10.0.0."), (F.col("event_id") % 200).cast("string"))).when(k == 1, F.concat(F.lit("172."), (16 + F.col("event_id") % 16).cast("string"), F.lit(".1.1"))).when(k == 2, F.lit("fe80::1")).when(k == 3, F.concat(F.lit("172."), (32 + F.col("event_id") % 16).cast("string"), F.lit(".1.1"))).otherwise("8.8.8.8")
+    return t("events").select("event_id", scalar.private_ip(address).alias("private"))
+
+
+@query("SELECT 1 AS part, count(*) AS n FROM nation UNION ALL SELECT 0, 1 UNION ALL SELECT 2, count(*) FROM nation WHERE n_nationkey % 3 <> 1")
+def graph_export(spark, t):
+    """Lines of a graph with what its reader may see."""
+    edges = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.lit("CONTAINS").alias("edge"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("a"), (F.col("n_nationkey") % 3).cast("string"))).alias("assertion_id"))
+    seen = graph.visible(edges, spark.createDataFrame([("a1", "rejected"), ("a2", "accepted")], "id string, decision string"), ["a1", "a2"])
+    nodes = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.export_json(nodes, seen.drop("assertion_id"), "cut").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand ORDER BY p_brand LIMIT 25")
+def family_first(spark, t):
+    return counting.first_per_unit(t("part"), ["p_brand"], "p_partkey")
+
+
+@query("SELECT item_id, substr(text, 1, 2) || '<mark>' || substr(text, 3, 4) || '</mark>' || substr(text, 7) AS marked FROM benchmark")
+def highlights(spark, t):
+    ranges = F.array(F.struct(F.lit(2).alias("start"), F.lit(6).alias("end")))
+    return t("benchmark").select("item_id", spans.highlight(F.col("text"), ranges).alias("marked"))

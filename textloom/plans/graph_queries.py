@@ -44,7 +44,7 @@ def graph_visibility(spark, t):
     k = F.col("o_orderkey")
     edges = t("orders").select(k.cast("string").alias("src"), F.lit("NEXT").alias("edge"), k.cast("string").alias("dst"), F.when(k % 4 != 0, F.concat(F.lit("a"), (k % 20).cast("string"))).alias("assertion_id"), k)
     assertions = spark.createDataFrame([(f"a{i}", "accepted" if i % 4 == 1 else "rejected") for i in range(20) if i % 4 != 3], "id string, decision string")
-    return graph.visible(edges, assertions, ["a1", "a11", "a5"] if False else ["a1", "a11"]).select("o_orderkey")
+    return graph.visible(edges, assertions, ["a1", "a11"]).select("o_orderkey")
 
 
 @query("SELECT CASE WHEN o_custkey % 10 = 0 THEN 'quarantined' ELSE 'kept' END AS part, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY part")
@@ -76,7 +76,7 @@ def graph_resolve(spark, t):
     return graph.resolve(nodes, "3:0")
 
 
-@query("SELECT kind, n FROM (SELECT 'ayah' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'concept', 2 UNION ALL SELECT 'entity', 3 UNION ALL SELECT 'TRANSLATES', 2 * count(*) FROM documents UNION ALL SELECT 'MENTIONS_CONCEPT', 1 + (SELECT count(*) FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents)) FROM e_ UNION ALL SELECT 'skipped', 2)".replace(" FROM e_", ""))
+@query("SELECT 'ayah' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'concept', 2 UNION ALL SELECT 'entity', 3 UNION ALL SELECT 'TRANSLATES', 2 * count(*) FROM documents UNION ALL SELECT 'MENTIONS_CONCEPT', 1 + count(*) FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 'skipped', 2")
 def graph_annotated(spark, t):
     units = t("documents").select(F.concat(F.lit("ayah:"), F.col("doc_id").cast("string")).alias("id"))
     seeds = spark.createDataFrame([("concept:a", "theme", "A"), ("concept:b", "theme", "B"), ("entity:c", "person", "C")], "id string, kind string, label string")
