@@ -262,7 +262,8 @@ r AS (SELECT gram FROM u GROUP BY gram HAVING count(*) <= 12),
 b AS (SELECT DISTINCT x.id AS low, y.id AS high FROM u x JOIN r USING (gram) JOIN u y USING (gram) WHERE x.id < y.id)"""
 
 
-@query(f"WITH {_PASSAGES}, j AS (SELECT low, high, len(list_intersect(a.g, b2.g)) AS o, len(a.g) + len(b2.g) AS t FROM b JOIN g a ON a.id = low JOIN g b2 ON b2.id = high) SELECT low, high, round(o / (t - o), 9) AS jaccard FROM j WHERE o >= 0.8 * (t - o)")
+@query(f"""WITH {_PASSAGES}, j AS (SELECT b.low, b.high, count(*) AS o FROM b JOIN u x ON x.id = b.low JOIN u y ON y.id = b.high AND y.gram = x.gram GROUP BY ALL), n AS (SELECT id, max(n) AS n FROM u GROUP BY id)
+SELECT low, high, round(o / (a.n + z.n - o), 9) AS jaccard FROM j JOIN n a ON a.id = low JOIN n z ON z.id = high WHERE o >= 0.8 * (a.n + z.n - o)""")
 def near_passages(spark, t):
     rows = joins.near_passages(t("documents"), "doc_id", "text", 0.8)
     return rows.select("low", "high", F.round("jaccard", 9).alias("jaccard"))
