@@ -40,7 +40,7 @@ from textloom.llm.components import components
 SAMPLE, FREQUENT = 16, 5
 #: The most frequent columns that are told to all tasks (16 bytes each); only speed depends on them.
 MAX_FREQUENT = 1_000_000
-#: Ids that may be broadcast to find the texts to verify; more are joined by a shuffle.
+#: Ids and classes that may be broadcast (16 bytes each), to find texts or to label rows; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Pivots that a class is compared with before the product.
 PIVOTS = 3
@@ -98,6 +98,11 @@ def rank(n, n_freq, percent: int):
     return (STEPS * (length - n_freq) // length).astype(np.int64) << 32 | (1 << 31) - n.astype(np.int64)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, broadcast if it is counted to be small."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -283,7 +288,7 @@ def prefix_bound(a, b, percent: int):
 
 def candidates(columns: DataFrame, roots: DataFrame, percent: int, blocks: int) -> DataFrame:
     """(a, b) of the pairs of different components that the bounds do not discard."""
-    labelled = columns.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    labelled = columns.join(small(roots).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     entries = runtime.stored(labelled.select("col", "set", "root", "n", "pos", "freq", "n_freq"), "entries")
     mixed = entries.groupBy("col").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("col", F.expr(f"cast(ceil(size / {CHUNK}) as int) AS chunks"))
     rows = entries.join(mixed, "col").withColumn("side", F.expr("cast(pmod(xxhash64(set), chunks) as int)"))
@@ -302,7 +307,7 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
     """(set, grams): the packed sets of the wanted classes, from one row of each."""
     holders = wanted.join(table, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     holders = runtime.stored(holders, "holders")
-    few, few_wanted = holders.count() <= MAX_BROADCAST, wanted.count() <= MAX_BROADCAST
+    few = holders.count() <= MAX_BROADCAST
     holders = holders.withColumnRenamed("doc_id", "holder")  # null where only rows without an id hold a class
     rows = _rows(docs, id_col, text_col).join(F.broadcast(holders) if few else holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
 
@@ -313,7 +318,7 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_
                 raw, cuts = h.tobytes(), (8 * first).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["set", "grams"])
 
-    found = rows.mapInArrow(run, "set long, grams binary").join(F.broadcast(wanted) if few_wanted else wanted, "set", "left_semi")
+    found = rows.mapInArrow(run, "set long, grams binary").join(small(wanted), "set", "left_semi")
     if not holders.filter("holder IS NULL").isEmpty():  # many rows without an id may hold one class
         found = found.dropDuplicates(["set"])
     return runtime.stored(found, "sets")
@@ -398,11 +403,13 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, blo
     links = links.unionByName(checked(docs, table, rest, n, percent, id_col, text_col))
     roots = components(links)
 
-    classes = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("low"))
-    low = classes.join(roots.withColumnRenamed("node", "set"), "set").groupBy("root").agg(F.min("low").alias("component"))
-    tied = roots.join(low, "root").select(F.col("node").alias("set"), "component")
-    found = classes.join(tied, "set", "left").select("set", F.coalesce("component", "low").alias("component"))
-    rows = table.join(found, "set", "left")
+    # a class of one row that is linked with nothing keeps its own id, so only the others are joined back to the rows
+    classes = table.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("c"))
+    known = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").filter("c > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "set"))
+    known = runtime.stored(known.select("set", "root", "low"), "classes")
+    low = known.groupBy("root").agg(F.min("low").alias("component"))
+    found = runtime.stored(known.join(low, "root").select("set", "component"), "class-components")
+    rows = table.join(small(found), "set", "left")
     return rows.select("doc_id", "n_shingles", "set", F.coalesce("component", "doc_id").alias("component_id"))
 
 
