@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom import runtime
 from textloom.functions import normalize, text as scalar
-from textloom.operators import counting, index, joins, search
+from textloom.operators import index, joins, search
 from textloom.plans.register import W as _W, query, words
 
 _L1 = normalize.sql(normalize.PROFILES["L1.ws"], "text")
