@@ -10,7 +10,8 @@ units were exchanged. Texts are met in two readings: words that open a sentence
 names in the second unless they are common openers, so a sentence may begin with an exchanged name.
 
 The join's build side is the benchmark in shards of at most `shard_windows` windows, so what a task holds is bounded
-whatever the benchmark's size; each shard meets all documents, and equal texts of items are met once. Items shorter than
+whatever the benchmark's size. Where there are several, a Bloom filter of all windows first finds the documents that hold
+one, and the shards meet only these. Equal texts of items are met once. Items shorter than
 `width` tokens are compared by one window of their own length; of fewer than `literal_below` tokens, a template says too
 little, so they must occur word for word, values included.
 
@@ -215,6 +216,54 @@ class Matcher:
         return out
 
 
+class Sieve:
+    """A Bloom filter of the windows of all items: BITS bits, of which each window sets two. It only saves work."""
+
+    BITS = 1 << 27
+
+    def __init__(self) -> None:
+        self.bits = np.zeros(self.BITS >> 3, np.uint8)
+        self.kinds: set[tuple[int, int]] = set()
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return keys % np.uint64(self.BITS), (keys >> np.uint64(32)) % np.uint64(self.BITS)
+
+    def add(self, matcher: Matcher) -> None:
+        for kind, (keys, _, _) in matcher.by_width.items():
+            self.kinds.add(kind)
+            for at in self._places(keys):
+                np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def held(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether each text of a slab may hold a window of an item."""
+        readings, value, first = template(data, off)
+        own, out = text.owners(first), np.zeros(len(off) - 1, bool)
+        for reading, width in self.kinds:
+            where, keys = text.windows(value if reading == 2 else readings[reading][0], first, width)
+            hit = np.ones(len(keys), bool)
+            for at in self._places(keys):
+                hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            out[own[where[hit]]] = True
+        return out
+
+
+def sieved(docs: DataFrame, met: Iterator[list], columns: list[str], width: int, coverage: float, literal_below: int, text_col: str = "text") -> DataFrame:
+    """A row for each document: its `columns` in the struct `row`, and whether it may hold a window of the items of any shard."""
+    runtime.ship(docs.sparkSession)
+    sieve = Sieve()
+    for items in met:
+        sieve.add(Matcher(items, width, coverage, literal_below))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)  # BITS bits
+    named = docs.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, off in text.slabs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(off) - 1), pa.array(shared.value.held(data, off))], ["row", "held"])
+
+    return named.mapInArrow(run, StructType([named.schema["row"], *StructType.fromDDL("held boolean")]))
+
+
 def shards(benchmark: DataFrame, shard_windows: int, item_col: str, text_col: str) -> Iterator[list]:
     """The items in shards of bounded size, streamed to the driver one partition at a time; equal texts are one item with many ids."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
@@ -253,27 +302,33 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float
     """A row for each document: (doc_id, contaminated, item_id, coverage, reparameterised, n_items); item_id is that of the best covered item."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = benchmark.schema[item_col].dataType
-    met = shards(benchmark, shard_windows, item_col, item_text_col)
-    held = list(itertools.islice(met, 2))
-    columns = ["doc_id"]
-    if len(held) == 2:  # a written key of each row, the same for all shards
-        named = runtime.stored(named.withColumn("at", F.monotonically_increasing_id()), "decontaminate")
-        columns = ["doc_id", "at"]
-    parts = [matches(named, items, columns, width, coverage, literal_below) for items in itertools.chain(held, met)]
-    if not parts:
+    held = list(itertools.islice(shards(benchmark, shard_windows, item_col, item_text_col), 2))
+    if not held:
         return named.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(None).cast("boolean").alias("reparameterised"), F.lit(0).alias("n_items"))
-    rows = parts[0]
-    if len(parts) > 1:  # an input row has one row for each shard
+    if len(held) == 1:
+        rows = matches(named, held[0], ["doc_id"], width, coverage, literal_below).select("row.doc_id", "item", "coverage", "changed", "items")
+    else:  # a written key of each row, the same for all shards
+        named = runtime.stored(named.withColumn("at", F.monotonically_increasing_id()), "decontaminate")
+        some = sieved(named, shards(benchmark, shard_windows, item_col, item_text_col), ["at", "text"], width, coverage, literal_below)
+        some = runtime.stored(some.filter("held").select("row.*"), "suspects")
+        parts = [matches(some, items, ["at"], width, coverage, literal_below).filter("items > 0") for items in shards(benchmark, shard_windows, item_col, item_text_col)]
+        found = parts[0]
         for other in parts[1:]:
-            rows = rows.unionByName(other)
+            found = found.unionByName(other)
         best = F.struct("coverage", "item", "changed")
-        rows = rows.groupBy("row.at").agg(F.first("row").alias("row"), F.max(best).alias("best"), F.sum("items").cast("int").alias("items")).select("row", "best.*", "items")
-    return rows.select("row.doc_id", (F.col("items") > 0).alias("contaminated"), F.col("item").cast(kind).alias("item_id"), "coverage", F.col("changed").alias("reparameterised"), F.col("items").alias("n_items"))
+        found = found.groupBy("row.at").agg(F.max(best).alias("best"), F.sum("items").cast("int").alias("items")).select("at", "best.*", "items")
+        rows = named.select("doc_id", "at").join(found, "at", "left").withColumns({"coverage": F.coalesce("coverage", F.lit(0.0)), "items": F.coalesce("items", F.lit(0))})
+    return rows.select("doc_id", (F.col("items") > 0).alias("contaminated"), F.col("item").cast(kind).alias("item_id"), "coverage", F.col("changed").alias("reparameterised"), F.col("items").alias("n_items"))
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, literal_below: int = 5, shard_windows: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that no item contaminates, with their columns; each shard filters what the one before kept."""
-    columns = list(docs.columns)
-    for items in shards(benchmark, shard_windows, item_col, item_text_col):
+    """The documents that no item contaminates, with their columns; of several shards each filters what the one before kept."""
+    columns, met = list(docs.columns), lambda: shards(benchmark, shard_windows, item_col, item_text_col)
+    clean = None
+    if len(list(itertools.islice(met(), 2))) == 2:
+        marked = sieved(docs, met(), columns, width, coverage, literal_below, text_col)
+        clean = marked.filter("NOT held").select("row.*")
+        docs = runtime.stored(marked.filter("held").select("row.*"), "suspects")
+    for items in met():
         docs = matches(docs, items, columns, width, coverage, literal_below, text_col).filter("items = 0").select("row.*")
-    return docs
+    return docs if clean is None else clean.unionByName(docs)
