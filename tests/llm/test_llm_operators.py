@@ -531,7 +531,7 @@ def test_chain_against_direct_features(spark):
 
     rows = [(f"some {a} words of {b} kind {k}", int(a in ("nasty", "vile"))) for k in range(8) for a in ("nasty", "vile", "decent", "lovely") for b in ("every", "another")]
     chain = toxicity.train(rows)
-    texts = ["nasty nasty things", "", "decent VILE-vile anotherness", "Ünï nastyness 12", None, "lovely"]
+    texts = ["nasty nasty things", "", "decent VILE-vile anotherness", "Ünï nastyness 12", None, "lovely", "zzz qqq unknown"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [r[f"p_{c}"] for c in chain.categories] for r in toxicity.judge(docs, chain).collect()}
     name = lambda x: int(_text.span_hashes(*(lambda d: (d[0], d[1][:-1], d[1][1:]))(_text.joined([x])))[0])
@@ -542,9 +542,10 @@ def test_chain_against_direct_features(spark):
         for size in toxicity.PREFIXES:
             units.update(short(w[:size]) for w in words if w.isascii() and len(w) > size)
         x = [float(units[int(u)] > 0) for u in chain.words] + [min(units[int(u)] / max(1, len(words)) / toxicity.DENSE, 2) for u in chain.words]
+        known = any(x)
         for w, p in zip(chain.weights, got[k], strict=True):
-            x.append(1 / (1 + np.exp(-(np.dot(x, w[:-1]) + w[-1]))) if words else 0)
-            if words:
+            x.append(1 / (1 + np.exp(-(np.dot(x, w[:-1]) + w[-1]))) if known else 0)
+            if known:
                 assert abs(x[-1] - p) < 1e-4
             else:
                 assert p == 0
@@ -613,6 +614,21 @@ def test_pipeline_against_its_operators(spark, sf):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(after)
 
 
+def test_pipeline_on_odd_rows(spark, odd, none, sf):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = runtime.stored(stage(spark, kept, sf), "odd-stage")
+            assert kept.schema == docs.schema, name
+        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+        packed = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()}
+        assert packed == set(ids) and all(ids.count(x) == 1 for x in ids if x is not None)
+        if docs is odd:
+            assert None in ids and 1 in ids and 7 in ids and not {4, 5, 6, 8, 9, 10} & set(ids)
+
+
 def test_sql_agrees(spark, sf):
     import duckdb
 

@@ -11,7 +11,8 @@ kind's direction. The last category is the label itself. No list of words is giv
 
 Words are runs of letters, folded to lower case (A-Z); the models know the units that set the classes of the bounded
 training sample apart best, found by exact 64-bit hashes; a unit of fewer than `min_texts` texts is not looked at. Null
-and empty texts have no words and the probability 0. Repeated rows are scored once each. Without labelled rows of both
+and empty texts, and texts that hold no unit that the models know, have the probability 0: nothing speaks for toxicity.
+Repeated rows are scored once each. Without labelled rows of both
 classes the probabilities are constant: the share of toxic rows, 0 without any. Extra columns of any name are kept by
 `keep` and ignored elsewhere.
 """
@@ -102,10 +103,13 @@ class Chain:
         return x[:, features.shape[1] :]
 
     def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Probabilities (texts x categories) of a slab; a text without words has 0."""
-        found = self.predict(self.features(data, off))
+        """Probabilities (texts x categories) of a slab; a text without words, or without a unit where units are known, has 0."""
+        x = self.features(data, off)
+        found = self.predict(x)
         _, _, first = _text.spans(_LETTER[data], off)
         found[np.diff(first) == 0] = 0
+        if len(self.words):
+            found[~x.any(axis=1)] = 0
         return found
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
