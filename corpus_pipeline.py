@@ -2,7 +2,12 @@
 
 Quality rules, toxicity and decontamination drop the documents that they reject, the n-gram join keeps one document of
 each component of near copies, and packing returns a row for each piece of what is left. Every stage but the last
-returns the columns of its input. Null texts, ties, repeated rows and empty tables behave as the operators say.
+returns the columns of its input, whatever their names.
+
+Null and empty texts have no words and go with the quality rules; a null source is a host of its own. A very long text is
+read whole in every stage. Rows with a null id stay up to packing and keep the null there; of rows that repeat an id, which
+are judged one by one before, the n-gram join keeps the one of the least hash. Of texts with equal shingles and of linked
+near copies the document with the least id stays. An empty table gives empty stages.
 """
 
 from __future__ import annotations
