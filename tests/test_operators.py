@@ -310,3 +310,12 @@ def test_ranked_phrases_of_many_documents(spark, tmp_path):
     one.build(docs)
     assert one.phrase_ranked("of the", limit=None).count() == 1200 and one.phrase_ranked("of the", limit=1000).count() == 1000
     assert one.phrase_ranked("the of", limit=None, fallback=False).isEmpty() and not one.phrase_ranked("the of").isEmpty()
+
+
+def test_moved_rows_are_misaligned_among_many_conversations(spark, tmp_path):
+    from textloom.plans import registry
+
+    rows = [(k, turn) for k in range(0, 3000, 5) for turn in range(2)] + [(11, None), (10, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = rows_of(registry.queries()["misaligned_rows"](spark, str(tmp_path)))
+    assert got == sorted(((k + 1000, turn) for k, turn in rows if k % 10 == 0), key=str)

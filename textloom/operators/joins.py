@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -132,8 +134,9 @@ def aligned_views(units: DataFrame, views: dict[str, DataFrame], keys: list[str]
 
 
 def misaligned(view: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of a view that no unit has."""
-    return view.join(units.select(*keys), keys, "left_anti")
+    """The rows of a view that no unit has; null keys are equal."""
+    known = units.select(*(F.col(c).alias(f"unit_{k}") for k, c in enumerate(keys)))
+    return view.join(known, reduce(and_, (F.col(c).eqNullSafe(F.col(f"unit_{k}")) for k, c in enumerate(keys))), "left_anti")
 
 
 def backfill(rows: DataFrame, builds: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
