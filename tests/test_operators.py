@@ -329,3 +329,22 @@ def test_patterns_of_many_terms(spark, tmp_path):
         one.regex("^thinth")
     assert rows_of(search.guarded_regex(one, "^thinth", "a", search.RateLimiter(), 0.0, most=None)) == [(1, 300), (2, 1)]
     assert rows_of(one.regex("^none", None)) == []
+
+
+def test_signatures_with_a_full_table(spark, monkeypatch):
+    import hashlib
+    import random
+
+    from textloom.operators import signatures
+
+    monkeypatch.setattr(signatures, "WINDOWS", 64)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["", "ab", "x" * 700]
+    texts += ["".join(map(chr, range(0x4E00, 0x4E00 + 5000)))]  # more letters than a key has numbers for
+    least = lambda x, slot: min(hashlib.sha256(f"{slot}:{x[i : i + 5]}".encode()).digest()[:8] for i in range(max(1, len(x) - 4)))
+    table = signatures.Hashes(5, 4, most=200)
+    got = table.signatures(texts)
+    assert len(table.keys) <= 200
+    assert got.tolist() == [[int.from_bytes(least(x, s), "big") for s in range(4)] for x in texts]
+    rows = spark.createDataFrame([(1, None), (2, "abcdefg")], "id int, text string")
+    assert rows_of(signatures.minhash(rows, "id", "text", 5, 2)) == sorted([(1, 0, None), (1, 1, None), *((2, s, least("abcdefg", s).hex()) for s in (0, 1))], key=str)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import normalize, text as scalar
-from textloom.operators import corpus, counting, graph, joins, ledger, quality, retrieval, search
+from textloom.operators import corpus, counting, graph, joins, ledger, quality, retrieval, search, signatures
 from textloom.plans.register import ORACLES, QUERIES, W as _W, Source as Tables, query, words
 
 
@@ -110,9 +110,7 @@ def tok_reconstruct(spark, t):
 
 @query(None)
 def minhash64_documents(spark, t):
-    g = scalar.shingles(F.col("text"), 5)
-    slots = F.array(*(F.struct(F.lit(k).alias("slot"), scalar.minhash_slot(F.col("g"), k).alias("minimum")) for k in range(64)))
-    return t("documents").select("doc_id", g.alias("g")).select("doc_id", F.explode(slots).alias("s")).select("doc_id", "s.*")
+    return signatures.minhash(t("documents"), "doc_id", "text", 5, 64)
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS hash, octet_length(encode(text))::BIGINT AS n_bytes, length(text)::BIGINT AS n_chars FROM documents")
