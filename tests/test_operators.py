@@ -359,3 +359,19 @@ def test_near_in_a_long_text(spark, tmp_path):
     assert found.filter("doc_id = 1").count() == 19_997 and rows_of(found.filter("doc_id = 2")) == [(2, 0)]
     assert "words" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert search.unordered_near(docs.filter("doc_id = 1"), ["the", "of", "the"], 2).count() == 19_997
+
+
+def test_batches_of_python_are_bounded(spark):
+    from textloom import runtime
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        runtime.ship(spark)
+        assert spark.conf.get(name) == str(runtime.BATCH_ROWS)
+        spark.conf.set(name, "200")  # a smaller bound stays
+        runtime.ship(spark)
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
