@@ -12,6 +12,7 @@ near copies the document with the least id stays. An empty table gives empty sta
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,24 +23,40 @@ from textloom.llm import decontaminate, ngram_join, packing, quality_rules, regi
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def relieved(stage: Stage) -> Stage:
+    """The stage, begun with executors that gave back the heap of the one before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        runtime.relieve(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@relieved
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+@relieved
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The chain is trained on the labelled rows of the whole table, not only on those that are left."""
     labelled = registry.table(spark, sf_dir, "documents")
     return toxicity.keep(docs, toxicity.fit(labelled, registry.table(spark, sf_dir, "labels")))
 
 
+@relieved
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep(docs)
 
 
+@relieved
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.keep(docs, registry.table(spark, sf_dir, "benchmark"))
 
 
+@relieved
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, registry.vocabulary())
 

@@ -614,6 +614,19 @@ def test_pipeline_against_its_operators(spark, sf):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(after)
 
 
+def test_stages_begin_with_a_collection_of_the_executors(spark, sf):
+    """The executors of this session are its driver's JVM, so that its full collections are counted."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = registry.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs.limit(0), sf)
+        assert full() > before, name
+
+
 def test_pipeline_on_odd_rows(spark, odd, none, sf):
     import corpus_pipeline
 
