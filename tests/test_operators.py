@@ -220,6 +220,32 @@ def test_near_passages_against_brute_force(spark):
     assert {(r["id"], r["representative"]) for r in joins.passage_classes(rows, "id", "text").collect()} == {(k, first[s]) for k, s in enumerate(skeleton) if s}
 
 
+def test_near_passages_shuffle_prefixes_only(spark, monkeypatch):
+    """In any number of groups the pairs are those of all shingles, and the postings hold the prefixes and nothing else."""
+    import random
+
+    import numpy as np
+
+    from textloom import runtime
+    from textloom.operators import passages
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdé\U0001f600") for _ in range(400)) for _ in range(4)]
+    texts = [x[: rng.randint(300, 400)] + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for x in base * 15] + ["ab", "abc", "abcde", "é"]
+    grams = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    rows = runtime.stored(spark.createDataFrame(list(enumerate(texts)), "at long, skeleton string"), "test-passages")
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    for groups, part in ((1, 100), (4, 10**6), (60, 50), (None, 10**6)):
+        monkeypatch.setattr(passages, "PART", part)
+        got = {(r["a"], r["b"]): r["jaccard"] for r in passages.near(rows, 0.8, 5, groups).collect()}
+        assert set(got) == want and got
+        assert all(got[a, b] == len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a, b in got)
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    posted = passages.postings(rows, 0.8, 5, 4, none).agg({"size": "sum"}).first()[0]
+    assert posted == sum(len(x) - -(-4 * len(x) // 5) + 1 for x in grams)
+    assert passages.near(rows.limit(0), 0.8, 5).count() == 0
+
+
 def test_range_join_and_context(spark):
     points = spark.createDataFrame([("g", 1), ("g", 5), ("g", 9), ("h", 1)], "g string, p int")
     ranges = spark.createDataFrame([("g", 0, 3, "x"), ("g", 5, 8, "y")], "g string, first int, last int, name string")

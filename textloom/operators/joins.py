@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from textloom import runtime
 from textloom.functions import normalize, text as scalar
+from textloom.operators import passages, signatures
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -267,35 +268,24 @@ def near_passages(rows: DataFrame, key: str, text: str, threshold: float, k: int
     """(low, high, jaccard): pairs of representatives of passage classes whose sets of k-character shingles reach the threshold,
     and of whose 64 min-hash slots `slots` are equal. passage_classes gives the members.
 
-    Pairs are found by the rarest shingles of each passage: passages that reach the threshold share one of the first
-    n - ceil(threshold n) + 1 of them. Only passages of such pairs are hashed for the slots.
+    Passages are told apart by SHA-256 of their skeletons. Pairs are found by packed prefixes (passages.near); only
+    passages of such pairs are hashed for the slots.
     """
-    reps = passage_classes(rows, key, text, profile).filter(F.col(key) == F.col("representative")).select(F.col(key).alias("id"), "skeleton").dropDuplicates(["id"])
-    reps = runtime.stored(reps.withColumn("grams", scalar.shingles(F.col("skeleton"), k)).select("id", "grams", F.size("grams").alias("n")), "passages")
-    grams = reps.select("id", "n", F.explode("grams").alias("gram")).select("id", "n", F.xxhash64("gram").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    # shingles of one passage come first and pair with nothing: only their number counts
-    shared = grams.join(counts, "gram").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    order = Window.partitionBy("id").orderBy("c", "gram")
-    prefix = shared.withColumn("pos", F.col("n") - F.col("k") + F.row_number().over(order)).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("gram", "id", "n", "pos")
-    other = prefix.select("gram", F.col("id").alias("high"), F.col("n").alias("nh"), F.col("pos").alias("ph"))
-    met = prefix.select("gram", F.col("id").alias("low"), F.col("n").alias("nl"), F.col("pos").alias("pl")).join(other, "gram").filter("low < high")
-    reach = 1 + F.least(F.col("nl") - F.col("pl"), F.col("nh") - F.col("ph"))
-    met = met.filter(F.least("nl", "nh") >= threshold * F.greatest("nl", "nh")).withColumn("far", reach * (1 + threshold) >= threshold * (F.col("nl") + F.col("nh")) - 1e-9)
-    # of the overlap that the sizes need, what the longer prefix leaves out is bounded, so the prefixes share the rest
-    needed = F.ceil((F.col("nl") + F.col("nh")) * (threshold / (1 + threshold)) - 1e-9) - F.ceil(F.greatest("nl", "nh") * threshold) + 1
-    pairs = met.groupBy("low", "high", "nl", "nh").agg(F.count(F.lit(1)).alias("met"), F.max("far").alias("far")).filter((F.col("met") >= needed) & F.col("far")).select("low", "high")
-    a, b = reps.select(F.col("id").alias("low"), F.col("grams").alias("ga")), reps.select(F.col("id").alias("high"), F.col("grams").alias("gb"))
-    found = pairs.join(a, "low").join(b, "high").withColumn("jaccard", scalar.jaccard(F.col("ga"), F.col("gb"))).filter(F.col("jaccard") >= threshold)
-    found = runtime.stored(found.select("low", "high", "jaccard"), "near-passages")
-    if slots <= 0:
-        return found
-    members = found.select(F.col("low").alias("id")).union(found.select("high")).distinct()
-    signed = reps.join(members, "id", "left_semi").select("id", F.array(*(scalar.minhash_slot(F.col("grams"), s) for s in range(64))).alias("sig"))
-    signed = runtime.stored(signed, "signatures")
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    both = found.join(signed.select(F.col("id").alias("low"), F.col("sig").alias("sa")), "low").join(signed.select(F.col("id").alias("high"), F.col("sig").alias("sb")), "high")
-    return both.filter(equal >= slots).select("low", "high", "jaccard")
+    form = rows.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("id"), normalize.profile(profile, F.col(text)).alias("skeleton")).filter("skeleton <> ''")
+    forms = runtime.stored(form.withColumn("digest", F.unhex(F.sha2("skeleton", 256))), "forms")
+    reps = forms.filter("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "at")).alias("r")).groupBy("r.id").agg(F.min("r.at").alias("at"))
+    reps = runtime.stored(reps.select("id", "at"), "representatives")
+    texts = runtime.stored(forms.select("at", "skeleton").join(reps, "at", "left_semi"), "passages")
+    runtime.drop(forms)
+    runtime.release(rows.sparkSession)
+    found = passages.near(texts, threshold, k)
+    if slots > 0:
+        members = found.select(F.col("a").alias("at")).union(found.select("b")).distinct()
+        signed = runtime.stored(signatures.least_hashes(texts.join(members, "at", "left_semi"), "at", "skeleton", k), "signatures")
+        equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+        found = found.join(signed.select(F.col("at").alias("a"), F.col("least").alias("sa")), "a").join(signed.select(F.col("at").alias("b"), F.col("least").alias("sb")), "b").filter(equal >= slots)
+    named = found.join(reps.select(F.col("at").alias("a"), F.col("id").alias("x")), "a").join(reps.select(F.col("at").alias("b"), F.col("id").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "jaccard")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
