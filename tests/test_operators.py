@@ -246,6 +246,67 @@ def test_near_passages_shuffle_prefixes_only(spark, monkeypatch):
     assert passages.near(rows.limit(0), 0.8, 5).count() == 0
 
 
+def test_near_passages_by_parts_of_all_sizes(spark, monkeypatch):
+    """By parts the pairs are those of all shingles, across classes of sizes and in any number of groups."""
+    import random
+
+    from textloom import runtime
+    from textloom.operators import passages
+
+    rng = random.Random(12)
+    texts = []
+    for size in (1, 4, 5, 6, 7, 8, 10, 12, 13, 16, 20, 26, 40, 60, 88, 130, 200, 290, 500, 1200):
+        base = "".join(rng.choice("abcdefgh\U0001f600") for _ in range(size))
+        for k in range(12):
+            x = list(base[: max(1, size - rng.randint(0, size // 4))])
+            for _ in range(rng.randint(0, size // 40 + (k > 8))):
+                x[rng.randrange(len(x))] = rng.choice("xyz")
+            texts.append("".join(x))
+    texts = sorted(set(texts))
+    grams = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    rows = runtime.stored(spark.createDataFrame(list(enumerate(texts)), "at long, skeleton string"), "test-parts")
+    for threshold in (0.6, 0.8):
+        want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b])}
+        for fewest, most in ((1, 10**6), (12, 10**6), (12, 900)):
+            monkeypatch.setattr(passages, "FEWEST", fewest)
+            monkeypatch.setattr(passages, "CLASS_GROUP", most)
+            got = {(r["a"], r["b"]): r["jaccard"] for r in passages.near(rows, threshold, 5).collect()}
+            assert set(got) == want and got
+            assert all(got[a, b] == len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a, b in got)
+
+
+def test_near_passages_of_few_words_form_few_pairs():
+    """Texts of the same few words share single shingles of their prefixes, but hardly a column of several."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import passages
+
+    def formed(columns):
+        count = np.unique(np.concatenate(columns), return_counts=True)[1]
+        return int((count * (count - 1) // 2).sum())
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    texts = ["".join(rng.choice(words) for _ in range(120)) for _ in range(300)]
+    (_, data, off), *_ = passages.slabs(pa.array(texts))
+    h, first = passages.sets_of(data, off, 5)
+    n, classes = np.diff(first), passages.Classes(0.8)
+    known, number, count = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.lexsort((h, count[number], np.repeat(np.arange(len(n)), n)))
+    single = [h[order][a : a + size - -(-4 * size // 5) + 1] for a, size in zip(first[:-1].tolist(), n.tolist(), strict=True)]
+    rarity, by_parts = np.rint(16 * np.log2(len(n) / count[number])).astype(np.int64), 0
+    for c, some in classes.of(n):
+        mine = np.repeat(np.isin(np.arange(len(n)), some), n)
+        col = passages.columns_of(h[mine], n[some], rarity[mine], classes.parts(c))
+        length = classes.length(n[some], c, passages.FEWEST)
+        assert (length <= classes.parts(c)).all()
+        by_parts += formed([col[np.arange(col.shape[1]) < length[:, None]]])
+    assert 5 * by_parts < formed(single)
+
+
 def test_range_join_and_context(spark):
     points = spark.createDataFrame([("g", 1), ("g", 5), ("g", 9), ("h", 1)], "g string, p int")
     ranges = spark.createDataFrame([("g", 0, 3, "x"), ("g", 5, 8, "y")], "g string, first int, last int, name string")
